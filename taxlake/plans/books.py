@@ -11,7 +11,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxlake.functions.money import MONEY, RATE, convert
+from taxlake.functions.money import MONEY, RATE
 
 SHIFT_MONTHS = 312  # 26 years: puts the order dates into 2021-2027
 
@@ -20,262 +20,173 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _every(n: int, rest: int = 0) -> Column:
-    return (F.col("k") % n) == rest
-
-
-def _party_country(nationkey: Column) -> Column:
-    return F.element_at(
-        F.array(*[F.lit(c) for c in ("DE", "DE", "FR", "US", "GB")]), (nationkey % 5 + 1).cast("int")
-    )
+def _country(nationkey: str) -> str:
+    return f"element_at(array('DE', 'DE', 'FR', 'US', 'GB'), CAST({nationkey} % 5 AS INT) + 1)"
 
 
 def _income(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    parties = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("party_key"),
-        F.col("c_name").alias("party"),
-        _party_country(F.col("c_nationkey")).alias("party_country"),
+    parties = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS party_key", "c_name AS party", f"{_country('c_nationkey')} AS party_country"
+    )
+    return (
+        table(spark, sf_dir, "orders")
+        .selectExpr(
+            "concat('O', o_orderkey) AS id",
+            "o_orderkey AS k",
+            "'income' AS direction",
+            "o_custkey AS party_key",
+            "CAST(o_totalprice AS DECIMAL(18,2)) AS base_net",
+            f"add_months(CAST(o_orderdate AS DATE), {SHIFT_MONTHS}) AS document_date",
+            "o_orderstatus AS state",
+        )
+        .join(parties, "party_key")
     )
-    return orders.select(
-        F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("id"),
-        F.col("o_orderkey").alias("k"),
-        F.lit("income").alias("direction"),
-        F.col("o_custkey").alias("party_key"),
-        F.col("o_totalprice").cast(MONEY).alias("base_net"),
-        F.add_months(F.col("o_orderdate").cast("date"), SHIFT_MONTHS).alias("document_date"),
-        F.col("o_orderstatus").alias("state"),
-    ).join(parties, "party_key")
 
 
 def _expense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parties = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("party_key"),
-        F.col("s_name").alias("party"),
-        _party_country(F.col("s_nationkey")).alias("party_country"),
+    parties = table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS party_key", "s_name AS party", f"{_country('s_nationkey')} AS party_country"
     )
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
-    discount = F.col("l_discount").cast("decimal(6,2)")
+    amount = "CAST(l_extendedprice AS DECIMAL(12,2)) * (CAST(1 AS DECIMAL(6,2)) - CAST(l_discount AS DECIMAL(6,2)))"
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey", "l_suppkey")
         .agg(
-            F.round(F.sum(price * (F.lit(Decimal(1)) - discount)), 2).cast(MONEY).alias("base_net"),
-            F.add_months(F.min("l_shipdate").cast("date"), SHIFT_MONTHS).alias("document_date"),
+            F.expr(f"CAST(round(sum({amount}), 2) AS DECIMAL(18,2))").alias("base_net"),
+            F.expr(f"add_months(CAST(min(l_shipdate) AS DATE), {SHIFT_MONTHS})").alias("document_date"),
             F.max("l_returnflag").alias("flag"),
         )
-        .select(
-            F.concat_ws(
-                "-",
-                F.concat(F.lit("L"), F.col("l_orderkey").cast("string")),
-                F.col("l_suppkey").cast("string"),
-            ).alias("id"),
-            F.col("l_orderkey").alias("k"),
-            F.lit("expense").alias("direction"),
-            F.col("l_suppkey").alias("party_key"),
+        .selectExpr(
+            "concat('L', l_orderkey, '-', l_suppkey) AS id",
+            "l_orderkey AS k",
+            "'expense' AS direction",
+            "l_suppkey AS party_key",
             "base_net",
             "document_date",
-            F.when(F.col("flag") == "R", "F").when(F.col("flag") == "A", "P").otherwise("O").alias("state"),
+            "CASE flag WHEN 'R' THEN 'F' WHEN 'A' THEN 'P' ELSE 'O' END AS state",
         )
         .join(parties, "party_key")
     )
 
 
-def _issue(code: str, severity: str, field: str | None) -> Column:
-    return F.struct(
-        F.lit(code).alias("code"),
-        F.lit(severity).alias("severity"),
-        F.lit(f"issues.{code}").alias("message_key"),
-        F.lit(field).cast("string").alias("field"),
-        F.lit(None).cast("map<string,string>").alias("params"),
-    )
-
-
 CONFIDENCE_FIELDS = [
     "invoiceNumber", "invoiceDate", "serviceDateFrom", "serviceDateTo", "dueDate", "paymentDate",
     "issuerName", "issuerCountryCode", "issuerVatId", "recipientName", "recipientCountryCode",
     "recipientVatId", "description", "currency", "netAmount", "vatAmount", "grossAmount",
 ]
 
+LINE_TYPE = "array<struct<rate:decimal(5,2),net:decimal(18,2),vat:decimal(18,2),gross:decimal(18,2)>>"
+
+
+def _line(rate: int, extra: str = "0") -> str:
+    vat = f"CAST(round(base_net * {rate} * 0.01BD, 2) + {extra} AS DECIMAL(18,2))"
+    return (
+        f"named_struct('rate', CAST({rate} AS DECIMAL(5,2)), 'net', base_net, 'vat', {vat}, "
+        f"'gross', CAST(base_net + {vat} AS DECIMAL(18,2)))"
+    )
+
+
+def _issue(code: str, severity: str, field: str) -> str:
+    return (
+        f"named_struct('code', '{code}', 'severity', '{severity}', 'message_key', 'issues.{code}', "
+        f"'field', '{field}', 'params', CAST(NULL AS MAP<STRING,STRING>))"
+    )
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table. Catalyst prunes every column a query does not use."""
     raw = _income(spark, sf_dir).unionByName(_expense(spark, sf_dir))
-    income = F.col("direction") == "income"
-    zero = F.lit(Decimal("0.00"))
-
-    step1 = raw.select(
+    step1 = raw.selectExpr(
         "*",
-        (F.col("k") % 8).cast("int").alias("tenant_id"),
-        F.when(~_every(97), F.col("document_date")).alias("invoice_date"),
-        F.when(F.col("state") == "F", "paid")
-        .when(F.col("state") == "O", "unpaid")
-        .otherwise("unknown")
-        .alias("payment_status"),
-        F.when(
-            (F.col("state") == "F") & ~_every(11),
-            F.date_add(F.col("document_date"), (F.col("k") % 45).cast("int")),
-        ).alias("payment_date"),
-        F.when(~_every(59), F.col("party_country")).alias("country"),
-        F.when(_every(83), F.lit(None))
-        .when(_every(71) & (F.col("party_country") == "US"), F.lit("USDT"))
-        .when(F.col("party_country") == "US", F.lit("USD"))
-        .when(F.col("party_country") == "GB", F.lit("GBP"))
-        .otherwise(F.lit("EUR"))
-        .alias("original_currency"),
-        F.when((F.col("party_country") == "DE") & _every(4), F.lit(7))
-        .when(F.col("party_country") == "DE", F.lit(19))
-        .otherwise(F.lit(0))
-        .alias("vat_rate"),
-        F.concat(
-            F.col("party"),
-            F.element_at(
-                F.array(*[F.lit(s) for s in (" GmbH", " AG", " Ltd", "", " e.K.")]),
-                (F.col("party_key") % 5 + 1).cast("int"),
-            ),
-        ).alias("party_name"),
-    )
-    vat = F.round(F.col("base_net") * F.col("vat_rate") * F.lit(Decimal("0.01")), 2).cast(MONEY)
-    step2 = step1.select(
+        "CAST(k % 8 AS INT) AS tenant_id",
+        "IF(k % 97 <> 0, document_date, NULL) AS invoice_date",
+        "CASE state WHEN 'F' THEN 'paid' WHEN 'O' THEN 'unpaid' ELSE 'unknown' END AS payment_status",
+        "IF(state = 'F' AND k % 11 <> 0, date_add(document_date, CAST(k % 45 AS INT)), NULL) AS payment_date",
+        "IF(k % 59 <> 0, party_country, NULL) AS country",
+        """CASE WHEN k % 83 = 0 THEN NULL WHEN k % 71 = 0 AND party_country = 'US' THEN 'USDT'
+             WHEN party_country = 'US' THEN 'USD' WHEN party_country = 'GB' THEN 'GBP' ELSE 'EUR' END AS original_currency""",
+        "CASE WHEN party_country = 'DE' AND k % 4 = 0 THEN 7 WHEN party_country = 'DE' THEN 19 ELSE 0 END AS vat_rate",
+        "concat(party, element_at(array(' GmbH', ' AG', ' Ltd', '', ' e.K.'), CAST(party_key % 5 AS INT) + 1)) AS party_name",
+    ).selectExpr("*", "CAST(round(base_net * vat_rate * 0.01BD, 2) AS DECIMAL(18,2)) AS base_vat")
+    step2 = step1.selectExpr(
         "*",
-        F.when(~_every(109), F.col("base_net")).alias("net_amount_original"),
-        F.when(~_every(101), vat).alias("vat_amount_original"),
-        F.when(
-            ~_every(103),
-            (F.col("base_net") + vat + F.when(_every(107), F.lit(Decimal("1.00"))).otherwise(zero)).cast(MONEY),
-        ).alias("gross_amount_original"),
-        F.when(_every(43), F.lit(None))
-        .when(F.col("original_currency") == "USD", F.lit(Decimal("0.9000000000")))
-        .when(F.col("original_currency") == "GBP", F.lit(Decimal("1.1500000000")))
-        .cast(RATE)
-        .alias("exchange_rate_to_eur"),
+        "IF(k % 109 <> 0, base_net, NULL) AS net_amount_original",
+        "IF(k % 101 <> 0, base_vat, NULL) AS vat_amount_original",
+        "IF(k % 103 <> 0, CAST(base_net + base_vat + IF(k % 107 = 0, 1, 0) AS DECIMAL(18,2)), NULL) AS gross_amount_original",
+        """CAST(CASE WHEN k % 43 = 0 THEN NULL WHEN original_currency = 'USD' THEN 0.9BD
+             WHEN original_currency = 'GBP' THEN 1.15BD END AS DECIMAL(18,10)) AS exchange_rate_to_eur""",
+        """CASE WHEN k % 23 = 0 THEN concat('EU', lpad(party_key, 9, '0'))
+             WHEN party_country = 'DE' AND k % 2 = 0 THEN concat('DE', lpad(party_key, 9, '0'))
+             WHEN party_country = 'FR' AND k % 3 <> 0 THEN concat('FR', lpad(party_key, 11, '0')) END AS vat_id""",
+        "CAST(document_date AS TIMESTAMP) + make_dt_interval(0, 0, 0, k % 1000) AS created_at",
+        "original_currency IS NOT NULL AND original_currency <> 'EUR' AS is_foreign",
     )
 
-    def eur(name: str) -> Column:
-        original = F.col(f"{name}_original")
-        return F.when(F.col("original_currency") == "EUR", original).otherwise(
-            convert(original, F.col("exchange_rate_to_eur"))
+    def eur(name: str) -> str:
+        amount = f"{name}_amount_original"
+        return (
+            f"IF(original_currency = 'EUR', {amount}, "
+            f"CAST(round({amount} * exchange_rate_to_eur, 2) AS DECIMAL(18,2))) AS {name}_amount_eur"
         )
 
-    foreign = F.col("original_currency").isNotNull() & (F.col("original_currency") != "EUR")
-    vat_id = (
-        F.when(_every(23), F.concat(F.lit("EU"), F.lpad(F.col("party_key").cast("string"), 9, "0")))
-        .when(
-            (F.col("party_country") == "DE") & _every(2),
-            F.concat(F.lit("DE"), F.lpad(F.col("party_key").cast("string"), 9, "0")),
-        )
-        .when(
-            (F.col("party_country") == "FR") & ~_every(3),
-            F.concat(F.lit("FR"), F.lpad(F.col("party_key").cast("string"), 11, "0")),
-        )
-    )
-    treatment = (
-        F.when(_every(53), F.lit("UNKNOWN_REVIEW"))
-        .when(income & _every(47), F.lit("DE_DOMESTIC_0_EXEMPT"))
-        .when(income & (F.col("k") % 8 == 2) & (F.col("vat_rate") > 0), F.lit("KLEINUNTERNEHMER"))
-        .when(income & (F.col("vat_rate") == 19), F.lit("DE_DOMESTIC_19"))
-        .when(income & (F.col("vat_rate") == 7), F.lit("DE_DOMESTIC_7"))
-        .when(income & (F.col("party_country") == "FR"), F.lit("EU_B2B_REVERSE_CHARGE_REVENUE"))
-        .when(income, F.lit("THIRD_COUNTRY_B2B_SERVICE"))
-        .when(F.col("vat_rate") > 0, F.lit("DE_EXPENSE_INPUT_VAT"))
-        .when(~_every(3), F.lit("EXPENSE_REVERSE_CHARGE_13B"))
-        .otherwise(F.lit("DE_EXPENSE_NO_INPUT_VAT"))
-    )
-    service = F.element_at(
-        F.array(
-            *[
-                F.lit(s)
-                for s in (
-                    "Konferenz und Seminar", "Software development", "Transport und Versand",
-                    "Catering 50%_Buffet", "Beratung", "Streaming Abo", "Hosting",
-                )
-            ]
-        ),
-        (F.col("k") % 7 + 1).cast("int"),
-    )
-    line = lambda rate, net, tax: F.struct(
-        F.lit(rate).cast("decimal(5,2)").alias("rate"),
-        net.cast(MONEY).alias("net"),
-        tax.cast(MONEY).alias("vat"),
-        (net + tax).cast(MONEY).alias("gross"),
-    )
-    base_vat19 = F.round(F.col("base_net") * F.lit(Decimal("0.19")), 2)
-    base_vat7 = F.round(F.col("base_net") * F.lit(Decimal("0.07")), 2)
-    lines = (
-        F.when((F.col("vat_rate") == 0) & _every(26, 5), F.array(line(20, F.col("base_net"), F.round(F.col("base_net") * F.lit(Decimal("0.20")), 2))))
-        .when((F.col("vat_rate") == 0) | _every(10), F.array().cast("array<struct<rate:decimal(5,2),net:decimal(18,2),vat:decimal(18,2),gross:decimal(18,2)>>"))
-        .when(_every(9), F.array(line(7, F.col("base_net"), base_vat7), line(19, F.col("base_net"), base_vat19)))
-        .when(_every(33), F.array(line(19, F.col("base_net"), base_vat19 + 5)))
-        .when(F.col("vat_rate") == 7, F.array(line(7, F.col("base_net"), base_vat7)))
-        .otherwise(F.array(line(19, F.col("base_net"), base_vat19)))
-    )
-    issues = F.array_compact(
-        F.array(
-            F.when(_every(37), _issue("conflicting_totals", "critical", "grossAmount")),
-            F.when(_every(43) & foreign, _issue("missing_exchange_rate", "critical", "exchangeRateToEur")),
-            F.when(_every(14), _issue("unclear_business_status", "warning", "recipientIsBusiness")),
-            F.when(_every(15), _issue("ambiguous_date_format", "warning", "invoiceDate")),
-            F.when(_every(16), _issue("missing_description", "warning", "description")),
-            F.when(_every(18), _issue("unclear_recipient_country", "info", "recipientCountryCode")),
-            F.when(_every(61), _issue("llm_disagreement", "warning", "currency")),
-        )
-    )
-    confidence = F.map_from_arrays(
-        F.array(*[F.lit(f) for f in CONFIDENCE_FIELDS]),
-        F.array(
-            *[
-                F.when((F.col("k") + i) % 12 == 0, F.lit(Decimal("0.00")))
-                .otherwise((F.lit(55) + (F.col("k") * 3 + i * 7) % 45) * F.lit(Decimal("0.01")))
-                .cast("decimal(4,2)")
-                for i, _ in enumerate(CONFIDENCE_FIELDS)
-            ]
-        ),
-    )
-    created = F.col("document_date").cast("timestamp") + F.make_dt_interval(
-        F.lit(0), F.lit(0), (F.col("k") % 1000).cast("int")
+    confidence = ", ".join(
+        f"CAST(IF((k + {i}) % 12 = 0, 0, (55 + (k * 3 + {i * 7}) % 45) * 0.01BD) AS DECIMAL(4,2))"
+        for i in range(len(CONFIDENCE_FIELDS))
     )
-    party = F.col("party_name")
-    return step2.select(
+    names = ", ".join(f"'{f}'" for f in CONFIDENCE_FIELDS)
+    return step2.selectExpr(
         "id", "k", "tenant_id", "direction", "party_key", "base_net", "vat_rate", "document_date",
-        F.sha2(F.concat_ws("|", "direction", F.col("k").cast("string"), F.col("party_key").cast("string")), 256).alias("sha256"),
-        F.concat(F.lit("scan_"), F.col("k").cast("string"), F.lit(".pdf")).alias("original_filename"),
-        F.when(~_every(67), F.concat(F.lit("RE-"), F.col("k").cast("string"))).alias("invoice_number"),
+        "sha2(concat_ws('|', direction, k, party_key), 256) AS sha256",
+        "concat('scan_', k, '.pdf') AS original_filename",
+        "IF(k % 67 <> 0, concat('RE-', k), NULL) AS invoice_number",
         "invoice_date", "payment_date", "payment_status",
-        F.when(income, F.lit("Studio Nord")).otherwise(party).alias("issuer_name"),
-        F.when(income, F.lit("DE")).otherwise(F.col("country")).alias("issuer_country_code"),
-        F.when(~income, vat_id).alias("issuer_vat_id"),
-        F.when(income, party).otherwise(F.lit("Studio Nord")).alias("recipient_name"),
-        F.when(income, F.col("country")).otherwise(F.lit("DE")).alias("recipient_country_code"),
-        F.when(income, vat_id).alias("recipient_vat_id"),
-        F.when(_every(6), F.lit(None).cast("boolean")).otherwise(~_every(6, 1)).alias("recipient_is_business"),
-        F.when(~_every(61), F.concat_ws(" ", service, F.col("k").cast("string"))).alias("description"),
+        "IF(direction = 'income', 'Studio Nord', party_name) AS issuer_name",
+        "IF(direction = 'income', 'DE', country) AS issuer_country_code",
+        "IF(direction = 'expense', vat_id, NULL) AS issuer_vat_id",
+        "IF(direction = 'income', party_name, 'Studio Nord') AS recipient_name",
+        "IF(direction = 'income', country, 'DE') AS recipient_country_code",
+        "IF(direction = 'income', vat_id, NULL) AS recipient_vat_id",
+        "IF(k % 6 = 0, NULL, k % 6 <> 1) AS recipient_is_business",
+        """IF(k % 61 <> 0, concat_ws(' ', element_at(array('Konferenz und Seminar', 'Software development',
+             'Transport und Versand', 'Catering 50%_Buffet', 'Beratung', 'Streaming Abo', 'Hosting'),
+             CAST(k % 7 AS INT) + 1), k), NULL) AS description""",
         "original_currency", "net_amount_original", "vat_amount_original", "gross_amount_original",
-        "exchange_rate_to_eur",
-        eur("net_amount").alias("net_amount_eur"),
-        eur("vat_amount").alias("vat_amount_eur"),
-        eur("gross_amount").alias("gross_amount_eur"),
-        lines.alias("vat_rates"),
-        treatment.alias("vat_treatment_code"),
-        F.year("invoice_date").alias("tax_period_year"),
-        F.quarter("invoice_date").alias("tax_period_quarter"),
-        F.month("invoice_date").alias("tax_period_month"),
-        F.struct(
-            ((F.col("party_country") != "DE") & _every(3)).alias("reverse_charge"),
-            _every(17).alias("vat_exempt"),
-            _every(19).alias("small_business"),
-            _every(23).alias("oss"),
-            (~_every(5)).alias("service_likely"),
-        ).alias("signals"),
-        confidence.alias("field_confidence"),
-        issues.alias("issues"),
-        F.when(_every(13), "needs_review")
-        .when(_every(29), "failed")
-        .when(_every(31), "processing")
-        .otherwise("confirmed")
-        .alias("review_status"),
-        F.when(_every(41), created).alias("deleted_at"),
-        created.alias("created_at"),
-        created.alias("updated_at"),
+        "exchange_rate_to_eur", eur("net"), eur("vat"), eur("gross"),
+        f"""CASE WHEN vat_rate = 0 AND k % 26 = 5 THEN array({_line(20)})
+             WHEN vat_rate = 0 OR k % 10 = 0 THEN CAST(array() AS {LINE_TYPE})
+             WHEN k % 9 = 0 THEN array({_line(7)}, {_line(19)})
+             WHEN k % 33 = 0 THEN array({_line(19, "5")})
+             WHEN vat_rate = 7 THEN array({_line(7)})
+             ELSE array({_line(19)}) END AS vat_rates""",
+        """CASE WHEN k % 53 = 0 THEN 'UNKNOWN_REVIEW'
+             WHEN direction = 'income' AND k % 47 = 0 THEN 'DE_DOMESTIC_0_EXEMPT'
+             WHEN direction = 'income' AND k % 8 = 2 AND vat_rate > 0 THEN 'KLEINUNTERNEHMER'
+             WHEN direction = 'income' AND vat_rate = 19 THEN 'DE_DOMESTIC_19'
+             WHEN direction = 'income' AND vat_rate = 7 THEN 'DE_DOMESTIC_7'
+             WHEN direction = 'income' AND party_country = 'FR' THEN 'EU_B2B_REVERSE_CHARGE_REVENUE'
+             WHEN direction = 'income' THEN 'THIRD_COUNTRY_B2B_SERVICE'
+             WHEN vat_rate > 0 THEN 'DE_EXPENSE_INPUT_VAT'
+             WHEN k % 3 <> 0 THEN 'EXPENSE_REVERSE_CHARGE_13B'
+             ELSE 'DE_EXPENSE_NO_INPUT_VAT' END AS vat_treatment_code""",
+        "year(invoice_date) AS tax_period_year",
+        "quarter(invoice_date) AS tax_period_quarter",
+        "month(invoice_date) AS tax_period_month",
+        """named_struct('reverse_charge', party_country <> 'DE' AND k % 3 = 0, 'vat_exempt', k % 17 = 0,
+             'small_business', k % 19 = 0, 'oss', k % 23 = 0, 'service_likely', k % 5 <> 0) AS signals""",
+        f"map_from_arrays(array({names}), array({confidence})) AS field_confidence",
+        f"""array_compact(array(
+             IF(k % 37 = 0, {_issue("conflicting_totals", "critical", "grossAmount")}, NULL),
+             IF(k % 43 = 0 AND is_foreign, {_issue("missing_exchange_rate", "critical", "exchangeRateToEur")}, NULL),
+             IF(k % 14 = 0, {_issue("unclear_business_status", "warning", "recipientIsBusiness")}, NULL),
+             IF(k % 15 = 0, {_issue("ambiguous_date_format", "warning", "invoiceDate")}, NULL),
+             IF(k % 16 = 0, {_issue("missing_description", "warning", "description")}, NULL),
+             IF(k % 18 = 0, {_issue("unclear_recipient_country", "info", "recipientCountryCode")}, NULL),
+             IF(k % 61 = 0, {_issue("llm_disagreement", "warning", "currency")}, NULL))) AS issues""",
+        """CASE WHEN k % 13 = 0 THEN 'needs_review' WHEN k % 29 = 0 THEN 'failed'
+             WHEN k % 31 = 0 THEN 'processing' ELSE 'confirmed' END AS review_status""",
+        "IF(k % 41 = 0, created_at, NULL) AS deleted_at",
+        "created_at",
+        "created_at AS updated_at",
     )
 
 
