@@ -111,28 +111,36 @@ def amounts(text: Column, locale: Column) -> Column:
         behind = F.coalesce(first_match(h["after"], r"^\s*([€$£])", 1), first_match(h["after"], _CODE, 1))
         return let(F.coalesce(ahead, behind), _currency_code)
 
-    def read(h: Column) -> Column:
-        possible = ~h["token"].rlike(r"\d{1,2}[./]\d{1,2}[./]\d{2,4}|\d{4}-\d{2}-\d{2}") & ~h["after"].rlike(r"^\s*%")
-        return F.when(
-            possible,
-            let(
-                mark(h),
-                lambda currency: F.when(
-                    h["token"].rlike(r"[.,]\d{1,2}$") | currency.isNotNull(),
-                    F.struct(round_money(parse_amount(h["token"], locale)).alias("value"), currency.alias("currency")),
+    def read_all(known_locale: Column) -> Column:
+        def read(h: Column) -> Column:
+            possible = ~h["token"].rlike(r"\d{1,2}[./]\d{1,2}[./]\d{2,4}|\d{4}-\d{2}-\d{2}") & ~h["after"].rlike(r"^\s*%")
+            return F.when(
+                possible,
+                let(
+                    mark(h),
+                    lambda currency: F.when(
+                        h["token"].rlike(r"[.,]\d{1,2}$") | currency.isNotNull(),
+                        F.struct(
+                            round_money(parse_amount(h["token"], known_locale)).alias("value"), currency.alias("currency")
+                        ),
+                    ),
                 ),
-            ),
-        )
+            )
+
+        return F.filter(F.transform(hits, read), lambda a: a["value"].isNotNull())
 
-    return F.filter(F.transform(hits, read), lambda a: a["value"].isNotNull())
+    return let(locale, read_all)
 
 
 def decimal_amounts(text: Column, locale: Column) -> Column:
     """Distinct positive amounts printed with two decimals."""
-    values = F.transform(
-        matches(text, P.portable(P.DECIMAL_AMOUNT)), lambda t: round_money(parse_amount(t, locale))
-    )
-    return F.array_distinct(F.filter(values, lambda v: v > 0))
+    def read(known_locale: Column) -> Column:
+        values = F.transform(
+            matches(text, P.portable(P.DECIMAL_AMOUNT)), lambda t: round_money(parse_amount(t, known_locale))
+        )
+        return F.array_distinct(F.filter(values, lambda v: v > 0))
+
+    return let(locale, read)
 
 
 # --- dates -----------------------------------------------------------------------------------
