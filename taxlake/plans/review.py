@@ -95,7 +95,9 @@ def attention_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE r > 0 AND NOT done GROUP BY f.id, field""",
 )
 def attention_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _attention(spark, sf_dir).select("id", F.explode("attention.fields").alias("field", "tier"))
+    # the outer form keeps the planner from repeating the whole analysis in an inferred filter
+    fields = _attention(spark, sf_dir).select("id", F.explode_outer("attention.fields").alias("field", "tier"))
+    return fields.filter(F.col("field").isNotNull())
 
 
 @query(

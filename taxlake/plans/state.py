@@ -94,7 +94,7 @@ def change_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("change_audit")
 def change_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = changed_documents(spark, sf_dir).select(F.col("id").alias("document_id"), F.explode("audit").alias("a"))
+    rows = changed_documents(spark, sf_dir).select(F.col("id").alias("document_id"), F.explode_outer("audit").alias("a")).filter(F.col("a").isNotNull())
     return flat(rows.select("document_id", "a.event_type", "a.next_value", "a.at"))
 
 
