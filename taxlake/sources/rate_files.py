@@ -38,7 +38,8 @@ def read_monthly(spark: SparkSession, path: str, year: int) -> DataFrame:
     columns = [f"c{i}" for i in range(14)]
     raw = (
         spark.read.option("sep", ";")
-        .option("encoding", "windows-1252")
+        # the file is windows-1252; Latin-1 reads its letters, digits and no-break spaces alike
+        .option("encoding", "iso-8859-1")
         .option("multiLine", True)
         .option("header", False)
         .schema(", ".join(f"{c} string" for c in columns))
