@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taxlake.functions import review
-from taxlake.functions.vat import TREATMENTS, applicable
+from taxlake.functions.vat import applicable
 from taxlake.operators.classification import classify
 
 # patchable document field -> (column, type)
@@ -369,7 +369,3 @@ def merge_reextraction(documents: DataFrame, extracted: DataFrame, audit: DataFr
         }
     )
     return rows.select(*documents.columns, "changed_fields")
-
-
-def known_treatment(code: Column) -> Column:
-    return code.isin(*TREATMENTS)
