@@ -257,8 +257,9 @@ def service_period(text: Column) -> Column:
 # --- wording ---------------------------------------------------------------------------------
 
 def has(text: Column, signal: str) -> Column:
-    flags = "isu" if signal == "oss" else "iu"
-    return F.coalesce(text.rlike(P.portable(P.SIGNALS[signal], flags)), F.lit(False))
+    # lower-casing once is far cheaper than case-insensitive matching at every position
+    pattern = P.portable(P.SIGNALS[signal].lower(), "s" if signal == "oss" else "")
+    return F.coalesce(F.lower(text).rlike(pattern), F.lit(False))
 
 
 def signals(text: Column) -> Column:
