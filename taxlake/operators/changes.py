@@ -117,7 +117,12 @@ def apply_changes(documents: DataFrame, changes: DataFrame) -> DataFrame:
             wanted = change(f"patch:{field}")
             value = wanted["value"].try_cast(kind)
             differs = wanted.isNotNull() & live_at(wanted["at"]) & ~value.eqNullSafe(F.col(column))
-            staged[f"_new_{column}"] = F.when(differs, F.struct(value.alias("value"), wanted["at"].alias("at")))
+            staged[f"_new_{column}"] = F.when(
+                differs,
+                F.struct(
+                    value.alias("value"), wanted["at"].alias("at"), F.col(column).cast("string").alias("previous")
+                ),
+            )
     rows = rows.withColumns(staged)
     columns = {c[0]: f for f, c in PATCH_FIELDS.items() if f"_new_{c[0]}" in staged}
     patched_at = F.array_max(F.array(*[F.col(f"_new_{c}.at") for c in columns])) if columns else F.lit(None)
@@ -266,7 +271,9 @@ def _audit_entries(columns: dict[str, str]) -> Column:
             F.col(f"_new_{column}").isNotNull(),
             F.struct(
                 F.lit(_EVENT_TYPES["patch"]).alias("event_type"),
-                F.lit(None).cast("string").alias("previous_value"),
+                F.to_json(
+                    F.struct(F.lit(field).alias("field"), F.col(f"_new_{column}.previous").alias("value"))
+                ).alias("previous_value"),
                 F.to_json(F.struct(F.lit(field).alias("field"), F.col(column).cast("string").alias("value"))).alias("next_value"),
                 F.col(f"_new_{column}.at").alias("at"),
             ),
