@@ -4,14 +4,16 @@ Two documents link when the Jaccard similarity of their shingle sets reaches a t
 one order of all shingles, linked sets share a shingle among the first ``n - ceil(t * n) + 1`` of each.
 
 1. Equal sets are collapsed to the smallest doc_id, copies cost nothing later on.
-2. The order puts shingles with a small hash first, and among these the rare before the frequent, so
-   prefixes hold what few documents share. Frequencies cover all documents. Only shingles that could
-   enter a prefix are counted, which is a small multiple of ``1 - t`` of all.
+2. A first order puts shingles with a small hash first, and among these the rare before the frequent.
+   Only shingles that could enter a prefix are counted, a small multiple of ``1 - t`` of all. Documents
+   that meet no other one in this order have no link. The others are ordered again by the frequency
+   of all their shingles among them, so that prefixes hold what few documents share.
 3. Documents with the same prefix and the same size are one group. Groups meet on shared prefix
    shingles and are filtered by size; pairs are made for what remains.
 4. Pairs come in two steps, so that a family of n near copies doesn't make n * n of them: first every
    member against the most central group of its bucket, then only pairs of groups that are not yet in
-   one component. Each pair is verified on the whole shingle sets. No pair is capped or dropped.
+   one component. Each pair is verified on the whole shingle sets. No pair is capped or dropped. In
+   both steps a pair has to agree early enough in its prefixes (a filter on positions).
 
 Defined results: null, empty or blank texts have no shingle and link with nothing; a text of fewer
 words than a shingle is one shingle; repeated rows come back as often as they came in, rows that
@@ -32,6 +34,9 @@ from taxlake.llm.shared import _mix, components, long_lists, only, shingle_sets,
 
 #: How much wider than the prefix the counted part of the order is.
 COUNTED = 1.5
+#: First tokens in the order, prefix or not, that rows carry for the filter on pairs and that a group has
+#: in common besides its prefix. It bounds the rows, not the pairs.
+TOP = 64
 
 
 def _least_overlap(n, percent: int):
@@ -83,6 +88,72 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
     return F.greatest(a, b) * percent <= F.least(a, b) * 100
 
 
+def _prefixes(nodes: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, alone, tokens): the prefix of every set in ``nodes`` (doc_id, n, counted, heads).
+
+    The first ``counted`` of ``heads`` are ordered by frequency, the others come after them as they are.
+    ``alone`` shingles, of no other set, come first of all and are only counted; ``tokens`` are the rest.
+    """
+    tokens = nodes.select("doc_id", "counted", F.posexplode("heads").alias("at", "token")).select(
+        "token", "doc_id", (F.col("at") >= F.col("counted")).alias("late")
+    )
+    frequent = tokens.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
+    met = (
+        tokens.join(frequent, "token")
+        .groupBy("doc_id")
+        .agg(
+            F.sort_array(
+                F.collect_set(F.struct("late", F.when(F.col("late"), 0).otherwise(F.col("docs")).alias("docs"), "token"))
+            ).alias("met")
+        )
+        .join(nodes.select("doc_id", "n", "counted").distinct(), "doc_id")
+    )
+    prefix = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
+    early, late = F.filter("met", lambda m: ~m["late"]), F.filter("met", lambda m: m["late"])
+    return (
+        met.withColumn("alone", F.col("counted") - F.size(early))
+        .withColumn("room", F.greatest(prefix - F.col("alone"), F.lit(0)).cast("int"))
+        .withColumn("tokens", F.concat(F.slice(early["token"], F.lit(1), F.col("room")), late["token"]))
+        .where(F.size("tokens") > 0)
+        .withColumn("top", F.slice(F.concat(early["token"], late["token"]), 1, TOP))
+        .select("doc_id", "n", "alone", "tokens", "top")
+    )
+
+
+def _bucket(prefixes: DataFrame, *names: str) -> DataFrame:
+    """Every token of the prefixes, with its place ``at`` in the order of its set."""
+    return prefixes.select(*names, "n", F.col("alone").alias("first"), F.posexplode("tokens").alias("at", "token")).select(
+        *names, "n", (F.col("first") + F.col("at")).alias("at"), "token"
+    )
+
+
+def _early(before: Column, sizes: Column, percent: int) -> Column:
+    """Whether so many shingles in front of the first common one leave room for the threshold.
+
+    All of them belong to one set only, and linked sets have (1 - t) / (1 + t) of both sizes as such.
+    """
+    return before * (100 + percent) <= sizes * (100 - percent)
+
+
+def _first_and_close(percent: int) -> Column:
+    """Of a pair that meets on several tokens, take the first; and look how far its prefixes differ.
+
+    Before the last common one of the ``TOP`` first tokens, what isn't common belongs to one set only.
+    A pair without common tokens among these is taken on any token.
+    """
+    def close(common: Column) -> Column:
+        last = F.get(common, F.size(common) - 1)
+        before = (
+            F.col("alone_l") + F.col("alone_r") + F.array_position("top_l", last) + F.array_position("top_r", last)
+            - F.size(common) * 2
+        )
+        return (F.size(common) == 0) | (
+            (F.get(common, F.lit(0)) == F.col("token")) & _early(before, F.col("n_l") + F.col("n_r"), percent)
+        )
+
+    return F.transform(F.array(F.array_intersect("top_l", "top_r")), close)[0]
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose whole sets reach the threshold."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
@@ -110,49 +181,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     nodes = known.groupBy("one", "two", "n").agg(
         F.min("doc_id").alias("doc_id"), F.first("counted").alias("counted"), F.first("heads").alias("heads")
     )
-    tokens = nodes.select("doc_id", "n", "counted", F.posexplode("heads").alias("at", "token"))
-    frequent = tokens.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
-    met = (
-        tokens.join(frequent, "token")
-        .groupBy("doc_id", "n", "counted")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(
-                        (F.col("at") >= F.col("counted")).alias("late"),
-                        F.when(F.col("at") < F.col("counted"), F.col("docs")).otherwise(0).alias("docs"),
-                        "token",
-                    )
-                )
-            ).alias("met")
-        )
+    # first pass, on the counted part of the order: which documents can have a partner at all
+    bucket = _bucket(_prefixes(nodes, percent), "doc_id")
+    reach = bucket.groupBy("token").agg(F.min("at").alias("least"), F.count("*").alias("met")).where("met > 1")
+    wanted = (
+        bucket.join(reach, "token")
+        .where((F.col("at") + F.col("least")) * percent <= F.col("n") * (100 - percent))
+        .select("doc_id")
+        .distinct()
     )
-    prefix = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
-    early, late = F.filter("met", lambda m: ~m["late"]), F.filter("met", lambda m: m["late"])
-    alone = F.col("counted") - F.size(early)  # shingles of no other document come first in the order
-    members = (
-        met.withColumn("alone", alone)
-        .withColumn("room", F.greatest(prefix - F.col("alone"), F.lit(0)).cast("int"))
-        .withColumn("tokens", F.concat(F.slice(early["token"], F.lit(1), F.col("room")), late["token"]))
-        .where(F.size("tokens") > 0)
-        .withColumn(
+    sets = stored(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, items array<long>"))
+    # second pass, among these: all their shingles in the order of their frequency
+    whole = sets.select("doc_id", F.size("items").cast("long").alias("n"), F.col("items").alias("heads"))
+    members = stored(
+        _prefixes(whole.withColumn("counted", F.col("n")), percent).withColumn(
             "grp",
-            F.when(F.col("alone") == 0, F.concat_ws(":", F.col("n"), F.md5(F.array_join("tokens", ","))))
+            F.when(F.col("alone") == 0, F.concat_ws(":", F.col("n"), F.md5(F.array_join(F.array_union("top", "tokens"), ","))))
             .otherwise(F.col("doc_id").cast("string")),
         )
-        .select("doc_id", "n", "alone", "grp", "tokens")
     )
-    members = stored(members)
     groups = members.groupBy("grp").agg(
         F.min("doc_id").alias("head"), F.first("n").alias("n"), F.min("alone").alias("alone"), F.first("tokens").alias("tokens")
     )
     # every group of a bucket meets the bucket's most central group: the one with the fewest lone shingles
-    bucket = groups.select("grp", "head", "n", "alone", F.explode("tokens").alias("token"))
+    bucket = _bucket(groups, "grp", "head", "alone")
     centre = bucket.groupBy("token").agg(
-        F.min(F.struct("alone", "head", F.col("n").alias("size"))).alias("c"), F.count("*").alias("groups")
+        F.min(F.struct("alone", "head", F.col("n").alias("size"), F.col("at").alias("place"))).alias("c")
     )
-    stars = bucket.join(centre, "token").where(_alike(F.col("n"), F.col("c.size"), percent)).select(
-        F.col("c.head").alias("a"), "grp"
+    stars = (
+        bucket.join(centre, "token")
+        .where(_alike(F.col("n"), F.col("c.size"), percent))
+        .where(_early(F.col("at") + F.col("c.place"), F.col("n") + F.col("c.size"), percent))
+        .select(F.col("c.head").alias("a"), "grp")
     )
     inside = groups.select(F.col("head").alias("a"), "grp")
     pairs = (
@@ -162,36 +222,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    # a document needs its whole set only where its bucket or its group holds another one
-    shared_tokens = centre.where("groups > 1").select("token")
-    wanted = (
-        members.select("doc_id", "grp", F.explode("tokens").alias("token"))
-        .join(shared_tokens, "token", "left_semi")
-        .select("doc_id")
-        .union(
-            members.join(members.groupBy("grp").count().where("count > 1"), "grp", "left_semi").select("doc_id")
-        )
-        .distinct()
-    )
-    sets = stored(
-        rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, items array<long>")
-    )
     links = stored(_verified(pairs, sets, percent))
     first = stored(components(links))
     # what is left: groups that share a prefix shingle and lie in different components so far
     placed = stored(
-        members.join(wanted, "doc_id", "left_semi")
-        .join(first.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+        members.join(first.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
         .withColumn("component", F.coalesce("component", "doc_id"))
     )
-    parts = placed.groupBy("grp", "component").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    parts = parts.select("grp", "component", "n", F.explode("tokens").alias("token"))
+    parts = placed.groupBy("grp", "component").agg(
+        F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("tokens").alias("tokens"), F.first("top").alias("top")
+    )
+    parts = _bucket(parts, "grp", "component", "alone", "top")
     left, right = (
-        parts.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("grp", "component", "n"))) for side in "lr"
+        parts.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("grp", "component", "n", "at", "alone", "top")))
+        for side in "lr"
     )
     open_pairs = (
         left.join(right, "token")
-        .where((F.col("component_l") < F.col("component_r")) & _alike(F.col("n_l"), F.col("n_r"), percent))
+        .where(
+            (F.col("component_l") < F.col("component_r"))
+            & _alike(F.col("n_l"), F.col("n_r"), percent)
+            & _early(F.col("at_l") + F.col("at_r"), F.col("n_l") + F.col("n_r"), percent)
+            & _first_and_close(percent)
+        )
         .select("grp_l", "component_l", "grp_r", "component_r")
         .distinct()
     )
