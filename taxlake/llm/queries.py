@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxlake.llm import decontaminate, fertility, mixing, prefix_join, pseudonyms
+from taxlake.llm import decontaminate, fertility, mixing, perspectives, prefix_join, pseudonyms, url_models, warc
 from taxlake.llm.shared import only
 
 #: The key of the pseudonyms; whoever runs the job for real passes a secret one.
@@ -16,6 +16,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata and conversion records of all pages."""
+    return warc.derived(warc.responses(_table(spark, sf_dir, "pages")))
+
+
+def op2_url_model_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_models.judged(_table(spark, sf_dir, "pages"))
+
+
 def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of document and benchmark item that overlap."""
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -38,6 +47,15 @@ def op7_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered dialogues; the mask as text, ``start-end`` joined by commas."""
+    seen = perspectives.rotated(_table(spark, sf_dir, "conversations"))
+    return seen.withColumn(
+        "mask",
+        F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ","),
+    )
+
+
 def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return pseudonyms.pseudonymised(docs, PSEUDONYM_KEY, count="n_values").select(
@@ -48,9 +66,32 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op3_spaced_seed_decontamination, op5_grouped_prefix_join, op6_pfair_mixing, op7_tokeniser_fertility,
-        op10_feistel_pseudonyms,
+        op1_warc_derivatives, op2_url_model_ratio, op3_spaced_seed_decontamination, op5_grouped_prefix_join, op6_pfair_mixing, op7_tokeniser_fertility,
+        op8_perspective_rotation, op10_feistel_pseudonyms,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_perspective_rotation": """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text, coalesce(turn // 256, 0) AS chunk
+  FROM conversations
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, chunk ORDER BY turn NULLS FIRST, speaker, text) - 1 AS place FROM turns
+), people AS (
+  SELECT DISTINCT conv_id AS of_id, speaker AS perspective FROM turns WHERE speaker <> 'system'
+), shown AS (
+  SELECT p.conv_id, q.perspective, p.chunk, p.place // 256 AS part, p.place,
+    CASE WHEN p.speaker = 'system' THEN '<|system|>' || chr(10)
+         WHEN p.speaker = q.perspective THEN '<|assistant|>' || chr(10)
+         ELSE '<|user|>' || chr(10) || p.speaker || ': ' END AS head,
+    p.text || '<|end|>' || chr(10) AS body, p.speaker = q.perspective AS train
+  FROM placed p JOIN people q ON p.conv_id IS NOT DISTINCT FROM q.of_id
+), summed AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, chunk, part ORDER BY place) AS upto FROM shown
+)
+SELECT conv_id, perspective, chunk, part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY place) AS text,
+  coalesce(string_agg(CASE WHEN train THEN CAST(upto - length(body) AS BIGINT)::VARCHAR || '-' || CAST(upto AS BIGINT)::VARCHAR END, ',' ORDER BY place), '') AS mask
+FROM summed GROUP BY conv_id, perspective, chunk, part
+""",
+}
