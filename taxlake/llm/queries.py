@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxlake.llm import decontaminate, fertility, mixing, perspectives, prefix_join, pseudonyms, url_models, warc
+from taxlake.llm import decontaminate, fertility, mixing, perspectives, prefix_join, pseudonyms, repeats, url_models, warc
 from taxlake.llm.shared import only
 
 #: The key of the pseudonyms; whoever runs the job for real passes a secret one.
@@ -30,6 +30,10 @@ def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_join.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -66,7 +70,7 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_warc_derivatives, op2_url_model_ratio, op3_spaced_seed_decontamination, op5_grouped_prefix_join, op6_pfair_mixing, op7_tokeniser_fertility,
+        op1_warc_derivatives, op2_url_model_ratio, op3_spaced_seed_decontamination, op4_run_length_repeats, op5_grouped_prefix_join, op6_pfair_mixing, op7_tokeniser_fertility,
         op8_perspective_rotation, op10_feistel_pseudonyms,
     )
 }
