@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxlake.llm import decontaminate, fertility, mixing, perspectives, prefix_join, pseudonyms, repeats, url_models, warc
+from taxlake.llm import decontaminate, fertility, mixing, passages, perspectives, prefix_join, pseudonyms, repeats, url_models, warc
 from taxlake.llm.shared import only
 
 #: The key of the pseudonyms; whoever runs the job for real passes a secret one.
@@ -60,6 +60,11 @@ def op8_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return passages.scored(docs, passages.trained(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return pseudonyms.pseudonymised(docs, PSEUDONYM_KEY, count="n_values").select(
@@ -71,7 +76,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_warc_derivatives, op2_url_model_ratio, op3_spaced_seed_decontamination, op4_run_length_repeats, op5_grouped_prefix_join, op6_pfair_mixing, op7_tokeniser_fertility,
-        op8_perspective_rotation, op10_feistel_pseudonyms,
+        op8_perspective_rotation, op9_attention_quality, op10_feistel_pseudonyms,
     )
 }
 
