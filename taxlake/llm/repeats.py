@@ -39,6 +39,8 @@ LENGTH = 200
 GRAM = 24
 BLOCK = 1 << 19
 HOT = 8_192
+#: A run's place is its first start times ``WIDE`` plus its width; runs are narrower than that.
+WIDE = 256
 #: Bytes of a text that are looked at in one piece.
 PIECE = 1 << 20
 _BYTE = _odd(101, 256)
@@ -198,8 +200,8 @@ def _anchors(length: int):
             if rows:
                 h, u, first, last = (np.concatenate(c) for c in zip(*rows))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(u), pa.array(first), pa.array(last)],
-                    names=["anchor", "uid", "first", "last"],
+                    [pa.array(h.view(np.int64)), pa.array(u), pa.array(first * WIDE + last - first)],
+                    names=["anchor", "uid", "place"],
                 )
 
     return run
@@ -215,7 +217,8 @@ def _cut(length: int, with_bytes: bool):
             lists = batch.column("places")
             of = np.repeat(np.arange(len(uid)), np.diff(lists.offsets.to_numpy()))
             flat = lists.flatten()
-            first, last, anchor = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("first", "last", "anchor"))
+            place, anchor = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("place", "anchor"))
+            first, last = place // WIDE, place // WIDE + place % WIDE
             step = 20_000
             for k in range(0, len(of), step):
                 rows = range(k, min(k + step, len(of)))
@@ -229,8 +232,8 @@ def _cut(length: int, with_bytes: bool):
                     columns.append(pa.array(parts, pa.binary()))
                     names = ["anchor", "mark", "content"]
                 else:
-                    columns += [pa.array(uid[of[k : k + step]]), pa.array(first[k : k + step]), pa.array(last[k : k + step])]
-                    names = ["anchor", "mark", "uid", "first", "last"]
+                    columns += [pa.array(uid[of[k : k + step]]), pa.array(place[k : k + step])]
+                    names = ["anchor", "mark", "uid", "place"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -324,38 +327,39 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, block
 
     spans are the removed [low, high) byte ranges of the text.
     """
+    if length - GRAM + 1 > WIDE:
+        raise ValueError(f"length can be {WIDE + GRAM - 1} at most")
+    # the texts are dealt by uid once; all joins below ask for the same columns, so the exchange is reused
     rows = only(docs, "doc_id", "text").select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("uid")
     )
-    anchors = rows.select("uid", "text").mapInArrow(_anchors(length), "anchor long, uid long, first long, last long")
+    anchors = rows.select("uid", "text").mapInArrow(_anchors(length), "anchor long, uid long, place long")
     repeated = anchors.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
     places = (
-        anchors.join(repeated, "anchor")
-        .groupBy("uid")
-        .agg(F.collect_set(F.struct("first", "last", "anchor")).alias("places"))
+        anchors.join(repeated, "anchor").groupBy("uid").agg(F.collect_set(F.struct("place", "anchor")).alias("places"))
     )
-    placed = rows.join(places, "uid").select("uid", "text", "places")
-    cut = placed.mapInArrow(_cut(length, False), "anchor long, mark long, uid long, first long, last long")
+    placed = rows.join(places, "uid").select("doc_id", "uid", "text", "places")
+    cut = placed.mapInArrow(_cut(length, False), "anchor long, mark long, uid long, place long")
     contents = cut.groupBy("anchor", "mark").agg(
-        F.count("*").alias("copies"), F.min(F.struct("uid", "first", "last")).alias("one")
+        F.count("*").alias("copies"), F.min(F.struct("uid", "place")).alias("one")
     )
     kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"))
     contents = contents.join(kinds, "anchor")
+    width = (F.col("one.place") % WIDE).alias("high")
     copied = contents.where("copies > 1").select(
-        "anchor", "mark", F.array(F.struct(F.lit(0).cast("long").alias("low"), (F.col("one.last") - F.col("one.first")).alias("high"))).alias("ranges")
+        "anchor", "mark", F.array(F.struct(F.lit(0).cast("long").alias("low"), width)).alias("ranges")
     )
     several = (
         contents.where("kinds > 1")
         .groupBy(F.col("one.uid").alias("uid"))
-        .agg(F.collect_set(F.struct(F.col("one.first").alias("first"), F.col("one.last").alias("last"), "anchor", "kinds")).alias("places"))
+        .agg(F.collect_set(F.struct(F.col("one.place").alias("place"), "anchor", "kinds")).alias("places"))
     )
 
     def taken(condition) -> DataFrame:
         some = several.select("uid", F.filter("places", condition).alias("places")).where(F.size("places") > 0)
         return (
-            rows.dropDuplicates(["uid"])
-            .join(some, "uid")
-            .select("uid", "text", "places")
+            rows.join(some, "uid")
+            .select("doc_id", "uid", "text", "places")
             .mapInArrow(_cut(length, True), "anchor long, mark long, content binary")
         )
 
@@ -375,14 +379,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, block
     )
     ranges = (
         cut.join(copied.unionByName(indexed).unionByName(counted), ["anchor", "mark"])
-        .select("uid", "first", F.explode("ranges").alias("r"))
+        .select("uid", F.expr(f"place div {WIDE}").alias("first"), F.explode("ranges").alias("r"))
         .select("uid", (F.col("first") + F.col("r.low")).alias("low"), (F.col("first") + F.col("r.high")).alias("high"))
         .groupBy("uid")
         .agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     )
     return (
         rows.join(ranges, "uid", "left")
-        .select("doc_id", "text", "ranges")
+        .select("doc_id", "uid", "text", "ranges")
         .mapInArrow(
             _kept(length),
             "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<low:long,high:long>>",
