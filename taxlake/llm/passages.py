@@ -60,9 +60,10 @@ def passages(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
     sizes = np.diff(np.append(begins, len(data)))
     of = np.repeat(np.arange(n), sizes)
     folded = _FOLD[data]
+    # trigrams end with their passage
     grams = folded.copy()
-    grams[:-1] += folded[1:] * np.uint32(257)
-    grams[:-2] += folded[2:] * np.uint32(66_049)
+    grams[:-1] += folded[1:] * np.uint32(257) * (of[1:] == of[:-1])
+    grams[:-2] += folded[2:] * np.uint32(66_049) * (of[2:] == of[:-2])
     bucket = ((grams * np.uint32(2_654_435_761)) >> np.uint32(24)).astype(np.int64)
     counts = np.bincount(of * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
     out[:, :BUCKETS] = np.sqrt(counts / np.maximum(sizes, 1)[:, None])

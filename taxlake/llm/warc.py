@@ -72,7 +72,7 @@ def responses(pages: DataFrame) -> DataFrame:
             for page_id, url, page in zip(frame["page_id"], frame["url"], frame["html"]):
                 payload = (page or "").encode()
                 head = SERVER_HEADERS.format(len(payload))
-                name = f"{page_id}" if not pd.isna(page_id) else digest(payload)
+                name = f"{int(page_id)}" if not pd.isna(page_id) else digest(payload)
                 record_id = uuid.uuid5(SPACE, f"response {name} {url}")
                 out.append(
                     (
