@@ -203,7 +203,7 @@ def judged(measured: DataFrame, width: float = WIDTH) -> DataFrame:
         & (F.col("m.script") == F.col("g.script"))
         & (F.col("m.class") == F.col("g.class")),
         "left",
-    ).select("m.*", *(f"g.own_{name}" for name in FLOORS)).join(wide, "class", "left")
+    ).select("m.*", *(f"g.own_{name}" for name in FLOORS)).join(F.broadcast(wide), "class", "left")  # at most 128 length classes
     ok = F.lit(True)
     for name, (low, high) in {
         "chars_per_token": (True, True), "fallback_share": (False, True), "token_entropy": (True, False),
