@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # first pass, on the counted part of the order: which documents can have a partner at all
     bucket = _bucket(_prefixes(nodes, percent), "doc_id")
     reach = bucket.groupBy("token").agg(F.min("at").alias("least"), F.count("*").alias("met")).where("met > 1")
-    wanted = (
+    wanted = stored(
         bucket.join(reach, "token")
         .where((F.col("at") + F.col("least")) * percent <= F.col("n") * (100 - percent))
         .select("doc_id")
