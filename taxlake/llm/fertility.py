@@ -6,8 +6,9 @@ that fall back to single bytes under a piece BPE, and the entropy of its tokens
 many tokens can have. A text is rejected when a measure lies outside the band of its language and script.
 
 Bands come from all documents that pass the base rules: median plus or minus ``width`` times the
-quartile range (at least ``FLOORS``) of each group of language, script and length class, by mergeable
-quantile sketches; the length class is there because the entropy of running text falls with its length.
+quartile range (at least ``FLOORS``) of each group of language, script and length class. Quartiles are
+exact on values rounded to ``DIGITS`` digits, so they don't depend on the order of rows and tasks hold
+a count per rounded value, however many rows there are; the length class is there because the entropy of running text falls with its length.
 A group of fewer than ``LEAST_GROUP`` such documents uses the bands of its length class, and a length
 class of fewer than that many has no bands.
 
@@ -37,6 +38,8 @@ WIDTH = 3.0
 LEAST_GROUP = 20
 #: The least quartile range that a band is built from.
 FLOORS = {"chars_per_token": 0.02, "fallback_share": 0.01, "token_entropy": 0.005}
+#: Digits of the measures in the quartiles: a tenth of the least floor or finer.
+DIGITS = 4
 #: Split pattern of the byte-level vocabulary (a fixed value, given with the file).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -186,7 +189,7 @@ def judged(measured: DataFrame, width: float = WIDTH) -> DataFrame:
     """``measured`` with ``kept``: base rules passed and every measure inside the band of its group."""
     classed = measured.withColumn("class", F.floor(F.log2(F.greatest("n_words", F.lit(1))) * 2))
     passing = classed.where("not base_failed")
-    quartiles = {name: F.percentile_approx(name, [0.25, 0.5, 0.75], 10_000) for name in FLOORS}
+    quartiles = {name: F.percentile(F.round(name, DIGITS), [0.25, 0.5, 0.75]) for name in FLOORS}
 
     def bands(prefix: str, *by: str) -> DataFrame:
         return (
