@@ -1,9 +1,10 @@
 """Batch state changes: documents joined with a change table give new documents and audit rows.
 
-A change is (id, change_id, at, kind, field, value). Kinds: patch (one field), payment (value: date,
+A change is (id, change_id, at, kind, field, value). Kinds: patch (one field), payment (value:
 invoice_date, not_paid, unknown, or an ISO date), direction, treatment, confirm, delete, restore,
-purge. A batch is first reduced to the latest change per document, kind and field, by an aggregate
-with map-side combine, so a document with very many changes costs no more than any other.
+purge. ``resolve`` puts the changes of a document in order and gives each its fate; the live ones make
+the new state, the audit rows and the outcome, the others are the reject output. All of it needs the
+changes dealt by document once: the windows, the reduction and the join share that partitioning.
 """
 
 from __future__ import annotations
@@ -41,24 +42,127 @@ _EVENT_TYPES = {
 }
 
 
-def collapse(changes: DataFrame) -> DataFrame:
-    """One row per document: ``changes`` map of "kind" or "patch:field" -> struct(at, change_id, value).
+def _payment(mode: Column, invoice_date: Column) -> Column:
+    """struct<value, status>: date and state that a payment change asks for; null if it can't be met."""
+    paid_on = F.when(mode == "invoice_date", invoice_date).otherwise(mode.try_cast("date"))
+    status = F.when(mode == "not_paid", "unpaid").when(mode == "unknown", "unknown").when(paid_on.isNotNull(), "paid")
+    date = F.when(status == "paid", paid_on.cast("string"))
+    return F.when(status.isNotNull(), F.struct(date.alias("value"), status.alias("status")))
 
-    The collected entries are bounded by the number of kinds and fields.
+
+def resolve(documents: DataFrame, changes: DataFrame) -> DataFrame:
+    """Every change with ``step`` (its place among those of its document), ``before``, ``after``, ``fate``.
+
+    Order: ``at`` (null first), then ``change_id``. Fates: ``live``; ``same`` (asks for what is there);
+    ``in_trash`` and ``not_in_trash``; ``purged`` (the document is gone by then); ``invalid`` (unknown kind,
+    field or value, no invoice date to pay on, a treatment that doesn't suit the direction of that
+    moment); ``unknown_document``. ``before`` and ``after`` are struct<value, status>, dates and numbers as
+    text. The previous code of a treatment is the last one chosen or stored: codes that were derived
+    anew within the batch are not replayed. The changes of one document are sorted by one task (on
+    disk if need be) and never gathered in a row.
     """
-    key = F.when(F.col("kind") == "patch", F.concat(F.lit("patch:"), "field")).otherwise(F.col("kind"))
-    latest = changes.groupBy("id", key.alias("key")).agg(
-        F.max(F.struct("at", "change_id", "value")).alias("c")
+    stored = {f: c for f, (c, _) in PATCH_FIELDS.items() if c in documents.columns}
+    facts = documents.select(
+        "id", F.lit(True).alias("_known"), F.col("deleted_at").isNotNull().alias("_deleted"),
+        F.col("direction").alias("_direction"), F.col("vat_treatment_code").alias("_code"), F.col("invoice_date").alias("_date"),
+        F.struct(F.col("payment_date").cast("string").alias("value"), F.col("payment_status").alias("status")).alias("_paid"),
+        *[F.col(c).cast("string").alias(f"_stored_{f}") for f, c in stored.items()],
+    ).join(changes.select("id").distinct(), "id", "left_semi")
+    kind, field, value = F.col("kind"), F.col("field"), F.col("value")
+    plain = lambda c: F.struct(c.alias("value"), F.lit(None).cast("string").alias("status"))
+    by_field = lambda pick: F.coalesce(*[F.when(field == f, pick(f)) for f in stored]) if stored else F.lit(None).cast("string")
+    key = F.when(kind == "patch", F.concat(F.lit("patch:"), F.coalesce(field, F.lit("")))).when(
+        kind.isin("delete", "restore"), "trash"
+    ).otherwise(kind)
+    rows = (
+        changes.select("id", "change_id", "at", "kind", "field", "value")
+        .join(facts, "id", "left")
+        .withColumns(
+            {
+                "_known": F.coalesce("_known", F.lit(False)),
+                "_key": key,
+                "_typed": by_field(lambda f: value.try_cast(PATCH_FIELDS[f][1]).cast("string")),
+                "_stored": F.when(kind == "patch", plain(by_field(lambda f: F.col(f"_stored_{f}"))))
+                .when(kind == "direction", plain(F.col("_direction")))
+                .when(kind == "treatment", plain(F.col("_code")))
+                .when(kind == "payment", F.col("_paid")),
+            }
+        )
+        .drop(*[f"_stored_{f}" for f in stored])
+    )
+    in_order = W.partitionBy("id").orderBy("at", "change_id")
+    earlier = in_order.rowsBetween(W.unboundedPreceding, -1)
+    last = lambda c: F.last(c, ignorenulls=True).over(earlier)
+    rows = (
+        rows.withColumns(
+            {
+                "step": F.row_number().over(in_order),
+                "_trashed": F.coalesce(last(F.when(kind.isin("delete", "restore"), kind == "delete")), "_deleted", F.lit(False)),
+            }
+        )
+        .withColumn("_gone", F.coalesce(F.max((kind == "purge") & F.col("_trashed")).over(earlier), F.lit(False)))
+        .withColumn("_open", ~F.col("_trashed") & ~F.col("_gone"))
+    )
+    patch_fits = F.coalesce((kind == "patch") & field.isin(*stored) & (value.isNull() | F.col("_typed").isNotNull()), F.lit(False))
+    turn_fits = F.coalesce((kind == "direction") & value.isin("income", "expense"), F.lit(False))
+    dated = F.when(F.col("_open") & patch_fits & (field == "invoiceDate"), F.struct(F.col("_typed").cast("date").alias("date")))
+    rows = rows.withColumns(
+        {
+            "_direction": F.coalesce(last(F.when(F.col("_open") & turn_fits, value)), "_direction"),
+            "_date": F.coalesce(last(dated), F.struct(F.col("_date").alias("date")))["date"],
+        }
+    ).withColumn(
+        "after",
+        F.when(patch_fits, plain(F.col("_typed")))
+        .when(turn_fits, plain(value))
+        .when((kind == "treatment") & applicable(F.col("_direction"), value), plain(value))
+        .when(kind == "payment", _payment(value, F.col("_date"))),
+    )
+    fits = F.coalesce(F.col("after").isNotNull() | kind.isin("confirm", "delete", "restore", "purge"), F.lit(False))
+    chain = W.partitionBy("id", "_key").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.last(F.when(F.col("_open"), F.col("after")), ignorenulls=True).over(chain), F.col("_stored"))
+    fate = (
+        F.when(~F.col("_known"), "unknown_document")
+        .when(F.col("_gone"), "purged")
+        .when(F.coalesce(kind.isin("restore", "purge"), F.lit(False)), F.when(F.col("_trashed"), "live").otherwise("not_in_trash"))
+        .when(F.col("_trashed"), "in_trash")
+        .when(~fits, "invalid")
+        .when(kind.isin("patch", "payment", "direction") & F.col("after").eqNullSafe(F.col("before")), "same")
+        .otherwise("live")
+    )
+    return rows.withColumn("before", before).select(
+        "id", "change_id", "at", "kind", "field", "value", "step", F.col("_key").alias("key"), "before", "after", fate.alias("fate")
+    )
+
+
+def collapse(resolved: DataFrame) -> DataFrame:
+    """One row per document: ``changes`` map of key -> struct(step, at, kind, after) of the last live change.
+
+    Keys are the kinds, "patch:field" and "trash" (delete and restore), which bounds the map. ``rejected``
+    tells whether any change was invalid.
+    """
+    latest = resolved.groupBy("id", "key").agg(
+        F.max(F.when(F.col("fate") == "live", F.struct("step", "at", "kind", "after"))).alias("c"),
+        F.max(F.col("fate") == "invalid").alias("rejected"),
+    )
+    entry = F.when(F.col("c").isNotNull(), F.struct("key", "c"))
+    return latest.groupBy("id").agg(
+        F.map_from_entries(F.collect_list(entry)).alias("changes"), F.max("rejected").alias("_rejected")
     )
-    return latest.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "c"))).alias("changes"))
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
-    """Current version of every document in a table of versions."""
+    """Current version of every document in a table of versions, purged documents left out.
+
+    Where versions have the ``batch_id`` they were committed with, that comes before ``updated_at``; a
+    row with ``purged`` set is a tombstone.
+    """
     columns = [c for c in versions.columns if c != "id"]
-    return versions.groupBy("id").agg(
-        F.max_by(F.struct(*columns), F.col("updated_at")).alias("v")
-    ).select("id", "v.*")
+    order = [c for c in ("batch_id", "updated_at") if c in columns]
+    current = versions.groupBy("id").agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("v")).select("id", "v.*")
+    if "purged" not in columns:
+        return current
+    return current.filter(~F.coalesce("purged", F.lit(False))).drop("purged")
 
 
 def only_unchanged(updates: DataFrame, documents: DataFrame) -> DataFrame:
@@ -76,132 +180,75 @@ def audit_trail(events: DataFrame) -> DataFrame:
 
 
 def apply_changes(documents: DataFrame, changes: DataFrame) -> DataFrame:
-    """The changed documents, each with ``outcome`` and ``audit`` entries.
+    """The documents that changes name, in their new state, with ``outcome`` and the confirmation.
 
-    Needs ``vat_method`` next to the documents (for the classification). Rows without changes do
-    not appear; purged rows appear with the outcome ``purged`` and no longer belong to the table.
+    ``changes`` are raw or already resolved. Needs ``vat_method`` next to the documents (for the
+    classification). Rows without changes do not appear; purged rows appear with the outcome ``purged``
+    and no longer belong to the table. ``updated_at`` always moves on when a row changes, also by a
+    change that comes late, so that it can serve as the version that a writer has read.
     """
-    rows = documents.join(collapse(changes), "id")
+    resolved = changes if "fate" in changes.columns else resolve(documents, changes)
+    rows = documents.join(collapse(resolved), "id")
     change = lambda key: F.try_element_at("changes", F.lit(key))
-    at = lambda key: change(key)["at"]
-
-    deleted = F.col("deleted_at").isNotNull()
-    last_delete, last_restore, purge = at("delete"), at("restore"), at("purge")
-    never = F.lit("1900-01-01").cast("timestamp")
-    removed = F.coalesce(last_delete, never)
-    returned = F.coalesce(last_restore, never)
-
-    def live_at(moment: Column) -> Column:
-        """Was the document outside the trash at that moment?"""
-        by_delete = F.when(moment > removed, F.when(returned > removed, moment > returned).otherwise(F.lit(False)))
-        return F.coalesce(
-            F.when(last_delete.isNotNull() & (moment > removed), by_delete)
-            .when(last_restore.isNotNull() & (moment > returned), F.lit(True))
-            .otherwise(~deleted),
-            F.lit(False),
-        )
-
-    rows = rows.withColumns(
-        {
-            "_deleted_now": F.when(removed > returned, F.lit(True))
-            .when(last_restore.isNotNull(), F.lit(False))
-            .otherwise(deleted),
-            "_purged": purge.isNotNull() & ~live_at(purge),
-        }
-    )
+    trash, purged = change("trash"), change("purge").isNotNull()
 
-    # patches: only fields whose value differs
-    staged = {}
-    for field, (column, kind) in PATCH_FIELDS.items():
-        if column in documents.columns:
-            wanted = change(f"patch:{field}")
-            value = wanted["value"].try_cast(kind)
-            differs = wanted.isNotNull() & live_at(wanted["at"]) & ~value.eqNullSafe(F.col(column))
-            staged[f"_new_{column}"] = F.when(
-                differs,
-                F.struct(
-                    value.alias("value"), wanted["at"].alias("at"), F.col(column).cast("string").alias("previous")
-                ),
-            )
-    rows = rows.withColumns(staged)
-    columns = {c[0]: f for f, c in PATCH_FIELDS.items() if f"_new_{c[0]}" in staged}
-    patched_at = F.array_max(F.array(*[F.col(f"_new_{c}.at") for c in columns])) if columns else F.lit(None)
-    changed = F.array_compact(
-        F.array(*[F.when(F.col(f"_new_{c}").isNotNull(), F.lit(f)) for c, f in columns.items()])
-    )
-    rows = rows.withColumns({"_changed": changed, "_patched_at": patched_at})
-
-    # direction, treatment, payment
-    direction = change("direction")
-    turned = direction.isNotNull() & live_at(direction["at"]) & (direction["value"] != F.col("direction"))
-    new_direction = F.when(turned, direction["value"]).otherwise(F.col("direction"))
-    treatment = change("treatment")
-    suits = F.coalesce(applicable(new_direction, treatment["value"]), F.lit(False))
+    columns = {c: f for f, (c, _) in PATCH_FIELDS.items() if c in documents.columns}
+    patches = {c: change(f"patch:{f}") for c, f in columns.items()}
+    newest = lambda part: F.array_max(F.array(*[p[part] for p in (*patches.values(), change("direction"), change("treatment"))]))
     payment = change("payment")
     rows = rows.withColumns(
         {
-            "_turned": F.coalesce(turned, F.lit(False)),
-            "_treated": treatment.isNotNull() & live_at(treatment["at"]) & suits,
-            "_treatment_rejected": treatment.isNotNull() & ~suits,
-            "_old": F.struct("direction", "vat_treatment_code", "payment_date", "payment_status", "review_status"),
-            "direction": new_direction,
-            **{
-                c: F.when(F.col(f"_new_{c}").isNotNull(), F.col(f"_new_{c}.value")).otherwise(F.col(c))
-                for c in columns
-            },
+            "_changed": F.array_compact(F.array(*[F.when(patches[c].isNotNull(), F.lit(f)) for c, f in columns.items()])),
+            "_edited_step": newest("step"),
+            "_edited_at": newest("at"),
+            "_turned": change("direction").isNotNull(),
+            "_payment": payment,
+            "_old_status": F.col("review_status"),
         }
-    )
-    mode = F.when(payment.isNotNull() & live_at(payment["at"]), payment["value"])
-    paid_on = F.when(mode == "invoice_date", F.col("invoice_date")).when(
-        ~mode.isin("not_paid", "unknown"), mode.try_cast("date")
-    )
-    usable = F.coalesce(mode.isin("not_paid", "unknown"), F.lit(False)) | paid_on.isNotNull()
-    status = F.when(mode == "not_paid", "unpaid").when(mode == "unknown", "unknown").otherwise("paid")
-    differs = ~(paid_on.eqNullSafe(F.col("payment_date")) & (status == F.col("payment_status")))
-    rows = rows.withColumn(
-        "_payment", F.when(usable & differs, F.struct(paid_on.alias("date"), status.alias("status")))
     ).withColumns(
         {
-            "payment_date": F.when(F.col("_payment").isNotNull(), F.col("_payment.date")).otherwise(F.col("payment_date")),
-            "payment_status": F.coalesce("_payment.status", "payment_status"),
+            "direction": F.coalesce(change("direction")["after"]["value"], F.col("direction")),
+            **{
+                c: F.when(p.isNotNull(), p["after"]["value"].cast(PATCH_FIELDS[columns[c]][1])).otherwise(F.col(c))
+                for c, p in patches.items()
+            },
+            "payment_date": F.when(payment.isNotNull(), payment["after"]["value"].cast("date")).otherwise(F.col("payment_date")),
+            "payment_status": F.coalesce(payment["after"]["status"], "payment_status"),
         }
     )
-
     rows = _derived(rows, documents.columns)
 
     # review state: edits ask for a new confirmation, a later confirm needs a clean document
-    edited_at = F.greatest(
-        F.col("_patched_at"), F.when(F.col("_turned"), at("direction")), F.when(F.col("_treated"), at("treatment"))
-    )
-    confirm_at = at("confirm")
-    confirms = confirm_at.isNotNull() & live_at(confirm_at) & (confirm_at >= F.coalesce(edited_at, never))
+    confirm = change("confirm")
+    confirms = confirm.isNotNull() & (confirm["step"] > F.coalesce("_edited_step", F.lit(0)))
     clean = ~F.exists("_core", lambda i: i["severity"] == "critical")
-    confirmed = confirms & clean
-    rows = rows.withColumns({"_confirmed": confirmed, "_blocked": confirms & ~clean, "_edited": edited_at.isNotNull()})
-    touched = F.col("_edited") | F.col("_payment").isNotNull() | F.col("_confirmed") | (F.col("_deleted_now") != deleted)
-    lifecycle = F.when(F.col("_deleted_now") & ~deleted, last_delete).when(~F.col("_deleted_now") & deleted, last_restore)
-    latest = F.greatest(edited_at, F.when(F.col("_payment").isNotNull(), at("payment")), F.when(F.col("_confirmed"), confirm_at), lifecycle)
+    edited = F.col("_edited_step").isNotNull()
+    rows = rows.withColumns({"_confirmed": confirms & clean, "_blocked": confirms & ~clean})
+    confirmed_at = F.when(F.col("_confirmed"), confirm["at"])
+    moved = F.greatest("_edited_at", payment["at"], confirmed_at, trash["at"], change("purge")["at"])
+    touched = edited | payment.isNotNull() | F.col("_confirmed") | trash.isNotNull() | purged
     outcome = (
-        F.when(F.col("_purged"), "purged")
-        .when(F.col("_deleted_now") & ~deleted, "deleted")
-        .when(~F.col("_deleted_now") & deleted, "restored")
+        F.when(purged, "purged")
+        .when(trash["kind"] == "delete", "deleted")
+        .when(trash["kind"] == "restore", "restored")
         .when(F.col("_blocked"), "confirm_blocked")
-        .when(F.col("_treatment_rejected") & ~touched, "rejected")
         .when(touched, "updated")
+        .when(F.col("_rejected"), "rejected")
         .otherwise("skipped")
     )
-    audit = _audit_entries(columns)
     return rows.withColumns(
         {
-            "review_status": F.when(F.col("_confirmed"), "confirmed")
-            .when(F.col("_edited"), "needs_review")
-            .otherwise(F.col("review_status")),
+            "confirmed_at": confirmed_at,
+            "confirmed_from": F.when(F.col("_confirmed"), F.when(edited, "needs_review").otherwise(F.col("_old_status"))),
+            "review_status": F.when(F.col("_confirmed"), "confirmed").when(edited, "needs_review").otherwise(F.col("review_status")),
             "outcome": outcome,
-            "audit": audit,
-            "updated_at": F.coalesce(latest, F.col("updated_at")),
-            "deleted_at": F.when(F.col("_deleted_now"), F.when(deleted, F.col("deleted_at")).otherwise(last_delete)),
+            "changed": touched,
+            "updated_at": F.when(
+                touched, F.greatest(moved, F.col("updated_at") + F.expr("INTERVAL 0.000001 SECOND"))
+            ).otherwise(F.col("updated_at")),
+            "deleted_at": F.when(trash["kind"] == "delete", trash["at"]).when(trash.isNull(), F.col("deleted_at")),
         }
-    ).select(*documents.columns, "review_reasons", "outcome", "audit")
+    ).select(*documents.columns, "review_reasons", "outcome", "changed", "confirmed_at", "confirmed_from")
 
 
 def _derived(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -211,19 +258,18 @@ def _derived(rows: DataFrame, columns: list[str]) -> DataFrame:
     edited = F.size("_changed") > 0
     manual = F.coalesce(F.col("manual_override"), F.lit(False)) if "manual_override" in columns else F.lit(False)
     reclassified = F.col("_turned") | (edited & ~manual)
-    by_hand = F.col("_treated") & (
-        F.coalesce(F.try_element_at("changes", F.lit("treatment"))["at"], F.lit("1900-01-01").cast("timestamp"))
-        >= F.coalesce(
-            F.when(F.col("_turned"), F.try_element_at("changes", F.lit("direction"))["at"]),
-            F.lit("1900-01-01").cast("timestamp"),
-        )
-    )
+    chosen, turned = (F.try_element_at("changes", F.lit(k)) for k in ("treatment", "direction"))
+    by_hand = chosen.isNotNull() & (chosen["step"] > F.coalesce(turned["step"], F.lit(0)))
     rows = classify(rows).withColumn(
         "vat_treatment_code",
-        F.when(by_hand, F.try_element_at("changes", F.lit("treatment"))["value"])
+        F.when(by_hand, chosen["after"]["value"])
         .when(reclassified, F.col("vat_classification.code"))
         .otherwise(F.col("vat_treatment_code")),
     )
+    if "manual_override" in columns:
+        rows = rows.withColumn(
+            "manual_override", F.when(by_hand, True).when(F.col("_turned"), False).otherwise(F.col("manual_override"))
+        )
     amounts = ["net_amount_eur", "vat_amount_eur", "gross_amount_eur"]
     rows = rows.withColumns({f"_kept_{c}": F.col(c) for c in amounts})
     rows = with_eur_amounts(
@@ -249,56 +295,59 @@ def _derived(rows: DataFrame, columns: list[str]) -> DataFrame:
         F.when(edited, F.col("_core"))
         .when(F.col("_payment").isNotNull(), F.col("_dropped"))
         .otherwise(F.col("_before")),
-    ).withColumn("review_reasons", review.reasons())
-
-
-def _audit_entries(columns: dict[str, str]) -> Column:
-    """array<struct<event_type, previous_value, next_value, at>>, values as JSON text."""
-    def entry(kind: str, happened: Column, previous: Column, following: Column, moment: Column) -> Column:
-        return F.when(
-            happened,
-            F.struct(
-                F.lit(_EVENT_TYPES[kind]).alias("event_type"),
-                F.to_json(previous).alias("previous_value"),
-                F.to_json(following).alias("next_value"),
-                moment.alias("at"),
-            ),
-        )
-
-    at = lambda key: F.try_element_at("changes", F.lit(key))["at"]
-    edits = [
+    ).withColumn(
+        "review_reasons",
         F.when(
-            F.col(f"_new_{column}").isNotNull(),
-            F.struct(
-                F.lit(_EVENT_TYPES["patch"]).alias("event_type"),
-                F.to_json(
-                    F.struct(F.lit(field).alias("field"), F.col(f"_new_{column}.previous").alias("value"))
-                ).alias("previous_value"),
-                F.to_json(F.struct(F.lit(field).alias("field"), F.col(column).cast("string").alias("value"))).alias("next_value"),
-                F.col(f"_new_{column}.at").alias("at"),
-            ),
+            by_hand & (chosen["step"] == F.col("_edited_step")),
+            F.array_except(review.reasons(), F.array(F.lit("vat_classification_unconfirmed"))),
+        ).otherwise(review.reasons()),
+    )
+
+
+def audit_rows(resolved: DataFrame, changed: DataFrame) -> DataFrame:
+    """(document_id, change_id, event_type, previous_value, next_value, at), values as JSON text.
+
+    One row per live change. A confirmation that a later edit in the batch undoes, or that critical
+    issues block, has none: only the one that holds at the end is known to have been possible.
+    """
+    kind, before, after = F.col("kind"), F.col("before"), F.col("after")
+    pair = lambda name, c: F.to_json(F.struct(c["value"].alias(name)))
+    paid = lambda c: F.to_json(F.struct(c["value"].alias("payment_date"), c["status"].alias("payment_status")))
+    patched = lambda c: F.to_json(F.struct(F.col("field"), c["value"].alias("value")))
+
+    def told(c: Column) -> Column:
+        return (
+            F.when(kind == "patch", patched(c))
+            .when(kind == "payment", paid(c))
+            .when(kind == "direction", pair("direction", c))
+            .when(kind == "treatment", pair("vat_treatment_code", c))
         )
-        for column, field in columns.items()
-    ]
-    moves = [
-        entry("direction", F.col("_turned"), F.struct("_old.direction"), F.struct("direction"), at("direction")),
-        entry("treatment", F.col("_treated"), F.struct("_old.vat_treatment_code"), F.struct("vat_treatment_code"), at("treatment")),
-        entry(
-            "payment", F.col("_payment").isNotNull(),
-            F.struct("_old.payment_date", "_old.payment_status"), F.struct("payment_date", "payment_status"), at("payment"),
-        ),
-        entry("confirm", F.col("_confirmed"), F.struct("_old.review_status"), F.struct(F.lit("confirmed").alias("review_status")), at("confirm")),
-        entry("purge", F.col("_purged"), F.struct("id"), F.struct("_purged"), at("purge")),
-        entry(
-            "delete", F.col("_deleted_now") & F.col("deleted_at").isNull(),
-            F.struct("id"), F.struct(F.lit(True).alias("trashed")), at("delete"),
-        ),
-        entry(
-            "restore", ~F.col("_deleted_now") & F.col("deleted_at").isNotNull(),
-            F.struct("deleted_at"), F.struct(F.lit(None).cast("string").alias("deleted_at")), at("restore"),
-        ),
-    ]
-    return F.array_compact(F.array(*edits, *moves))
+
+    event = F.coalesce(*[F.when(kind == k, F.lit(e)) for k, e in _EVENT_TYPES.items()])
+    live = resolved.filter((F.col("fate") == "live") & (kind != "confirm")).select(
+        F.col("id").alias("document_id"),
+        "change_id",
+        event.alias("event_type"),
+        told(before).alias("previous_value"),
+        F.coalesce(told(after), F.when(kind == "delete", F.lit('{"trashed":true}'))).alias("next_value"),
+        "at",
+    )
+    # exploded and not filtered at once: a filter would be pushed down with a copy of the whole review
+    held = F.when(F.col("confirmed_at").isNotNull(), F.array(F.struct(F.col("confirmed_from").alias("review_status"), F.col("confirmed_at").alias("at"))))
+    confirmed = changed.select("id", F.explode_outer(held).alias("c")).filter(F.col("c").isNotNull()).select(
+        F.col("id").alias("document_id"),
+        F.lit(None).cast(live.schema["change_id"].dataType).alias("change_id"),
+        F.lit(_EVENT_TYPES["confirm"]).alias("event_type"),
+        F.to_json(F.struct("c.review_status")).alias("previous_value"),
+        F.lit('{"review_status":"confirmed"}').alias("next_value"),
+        "c.at",
+    )
+    return live.unionByName(confirmed)
+
+
+def rejected_changes(resolved: DataFrame) -> DataFrame:
+    """Changes that did nothing, with the reason."""
+    return resolved.filter(F.col("fate") != "live").select("id", "change_id", "at", "kind", "field", "value", F.col("fate").alias("reason"))
 
 
 def merge_back(documents: DataFrame, changed: DataFrame) -> DataFrame:

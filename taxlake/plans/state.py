@@ -13,89 +13,180 @@ from taxlake.plans.oracle_base import DOCS, SETTINGS, with_ctes
 
 
 def change_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event log read as changes: two events per document, kind by event type."""
+    """The event log read as changes: eight events per document, some of documents that don't exist."""
     return books.table(spark, sf_dir, "events").selectExpr(
-        "concat('O', event_id DIV 2) AS id",
-        "event_id AS change_id",
+        "IF(event_id % 97 = 0, concat('X', event_id), concat('O', event_id DIV 8)) AS id",
+        "CAST(event_id AS BIGINT) AS change_id",
         "CAST(ts AS TIMESTAMP) AS at",
-        """CASE event_type WHEN 'click' THEN 'payment' WHEN 'view' THEN 'patch' WHEN 'purchase' THEN 'treatment'
-             WHEN 'signup' THEN 'confirm' ELSE IF(event_id % 3 = 0, 'restore', 'delete') END AS kind""",
+        """CASE event_type WHEN 'click' THEN 'payment' WHEN 'view' THEN 'patch' WHEN 'signup' THEN 'confirm'
+             WHEN 'purchase' THEN IF(event_id % 3 = 0, 'direction', 'treatment')
+             ELSE CASE event_id % 5 WHEN 3 THEN 'restore' WHEN 4 THEN 'purge' ELSE 'delete' END END AS kind""",
         "IF(event_id % 2 = 0, 'description', 'grossAmountOriginal') AS field",
         """CASE event_type WHEN 'click' THEN CASE event_id % 4 WHEN 0 THEN 'invoice_date' WHEN 1 THEN 'not_paid' WHEN 2 THEN 'unknown' ELSE '2024-05-05' END
-             WHEN 'view' THEN IF(event_id % 2 = 0, concat('note ', event_id), CAST(CAST(value AS DECIMAL(18,2)) AS STRING))
-             WHEN 'purchase' THEN IF(event_id % 5 = 0, 'DE_EXPENSE_INPUT_VAT', 'DE_DOMESTIC_0_EXEMPT') END AS value""",
+             WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN concat('note ', event_id % 6) WHEN event_id % 11 = 5 THEN 'n/a'
+                 ELSE CAST(CAST(value AS DECIMAL(18,2)) AS STRING) END
+             WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN IF(event_id % 2 = 0, 'income', 'expense')
+                 ELSE IF(event_id % 5 = 0, 'DE_EXPENSE_INPUT_VAT', 'DE_DOMESTIC_0_EXEMPT') END END AS value""",
     )
 
 
+def resolved_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.resolve(books.documents(spark, sf_dir), change_table(spark, sf_dir))
+
+
 def changed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ledger.with_settings(
         books.documents(spark, sf_dir), books.settings(spark, sf_dir).select("tenant_id", "vat_method")
-    )
+    ).withColumn("manual_override", F.lit(False))
     return changes.apply_changes(docs, change_table(spark, sf_dir))
 
 
-_CHANGES = """
+# The counterpart replays the changes one by one, each on the state that the one before it left.
+_REPLAY = """
 chg AS (
-  SELECT 'O' || (event_id // 2) AS id, event_id, ts, event_type,
-    CASE event_type WHEN 'click' THEN 'payment' WHEN 'view' THEN 'patch' WHEN 'purchase' THEN 'treatment' WHEN 'signup' THEN 'confirm'
-      ELSE CASE WHEN event_id % 3 = 0 THEN 'restore' ELSE 'delete' END END AS kind, CAST(value AS DECIMAL(18,2)) AS amount
-  FROM events
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY moment, change_id) AS place FROM (
+    SELECT CASE WHEN event_id % 97 = 0 THEN 'X' || event_id ELSE 'O' || (event_id // 8) END AS id, CAST(event_id AS BIGINT) AS change_id, ts AS moment,
+      CASE event_type WHEN 'click' THEN 'payment' WHEN 'view' THEN 'patch' WHEN 'signup' THEN 'confirm'
+        WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'direction' ELSE 'treatment' END
+        ELSE CASE event_id % 5 WHEN 3 THEN 'restore' WHEN 4 THEN 'purge' ELSE 'delete' END END AS kind,
+      CASE WHEN event_id % 2 = 0 THEN 'description' ELSE 'grossAmountOriginal' END AS field,
+      CASE event_type WHEN 'click' THEN CASE event_id % 4 WHEN 0 THEN 'invoice_date' WHEN 1 THEN 'not_paid' WHEN 2 THEN 'unknown' ELSE '2024-05-05' END
+        WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'note ' || (event_id % 6) WHEN event_id % 11 = 5 THEN 'n/a'
+          ELSE CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) END
+        WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'income' ELSE 'expense' END
+          ELSE CASE WHEN event_id % 5 = 0 THEN 'DE_EXPENSE_INPUT_VAT' ELSE 'DE_DOMESTIC_0_EXEMPT' END END END AS value
+    FROM events)
 ),
-per AS (
-  SELECT id, MAX(ts) FILTER (kind = 'delete') AS del_at, MAX(ts) FILTER (kind = 'restore') AS res_at,
-    MAX(ts) FILTER (kind = 'payment') AS pay_at, arg_max(event_id, (ts, event_id)) FILTER (kind = 'payment') AS pay_id,
-    MAX(ts) FILTER (kind = 'patch' AND event_id % 2 = 0) AS desc_at, arg_max(event_id, (ts, event_id)) FILTER (kind = 'patch' AND event_id % 2 = 0) AS desc_id,
-    MAX(ts) FILTER (kind = 'patch' AND event_id % 2 = 1) AS gross_at, arg_max(amount, (ts, event_id)) FILTER (kind = 'patch' AND event_id % 2 = 1) AS gross_value,
-    COUNT(*) AS n
-  FROM chg GROUP BY id
-),
-joined AS (SELECT d.*, per.* EXCLUDE (id) FROM docs d JOIN per USING (id)),
-live AS (
-  SELECT *,
-    CASE WHEN del_at IS NOT NULL AND (res_at IS NULL OR del_at > res_at) THEN TRUE WHEN res_at IS NOT NULL THEN FALSE ELSE is_deleted END AS deleted_now,
-    {pay} AS pay_live, {desc} AS desc_live, {gross} AS gross_live
-  FROM joined
-),
-paid AS (
-  SELECT *, CASE WHEN pay_live THEN CASE pay_id % 4 WHEN 0 THEN 'invoice_date' WHEN 1 THEN 'not_paid' WHEN 2 THEN 'unknown' ELSE 'date' END END AS mode FROM live
-)"""
+replay AS (
+  SELECT id, CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS change_id, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS TIMESTAMP) AS moment,
+    CAST('start' AS VARCHAR) AS fate, is_deleted AS trashed, FALSE AS gone, CAST('kept' AS VARCHAR) AS lifecycle,
+    direction, vat_treatment_code AS code, FALSE AS by_hand, description, CAST(gross_amount_original AS VARCHAR) AS gross,
+    CAST(payment_date AS VARCHAR) AS paid_on, payment_status, CAST(invoice_date AS VARCHAR) AS invoice_date,
+    CAST(NULL AS VARCHAR) AS was, CAST(NULL AS VARCHAR) AS was_status, CAST(NULL AS VARCHAR) AS wanted, CAST(NULL AS VARCHAR) AS wanted_status
+  FROM docs WHERE id IN (SELECT id FROM chg)
+  UNION ALL
+  SELECT id, place, change_id, kind, field, moment, fate,
+    CASE WHEN fate = 'live' AND kind IN ('delete', 'restore') THEN kind = 'delete' ELSE trashed END,
+    gone OR (fate = 'live' AND kind = 'purge'),
+    CASE WHEN fate = 'live' THEN CASE kind WHEN 'delete' THEN 'deleted' WHEN 'restore' THEN 'restored' WHEN 'purge' THEN 'purged' ELSE lifecycle END ELSE lifecycle END,
+    CASE WHEN fate = 'live' AND kind = 'direction' THEN wanted ELSE direction END,
+    CASE WHEN fate = 'live' AND kind = 'treatment' THEN wanted ELSE code END,
+    CASE WHEN fate = 'live' AND kind IN ('treatment', 'direction') THEN kind = 'treatment' ELSE by_hand END,
+    CASE WHEN fate = 'live' AND kind = 'patch' AND field = 'description' THEN wanted ELSE description END,
+    CASE WHEN fate = 'live' AND kind = 'patch' AND field = 'grossAmountOriginal' THEN wanted ELSE gross END,
+    CASE WHEN fate = 'live' AND kind = 'payment' THEN wanted ELSE paid_on END,
+    CASE WHEN fate = 'live' AND kind = 'payment' THEN wanted_status ELSE payment_status END,
+    invoice_date, was, was_status, wanted, wanted_status
+  FROM (
+    SELECT *,
+      CASE WHEN gone THEN 'purged'
+        WHEN kind IN ('restore', 'purge') THEN CASE WHEN trashed THEN 'live' ELSE 'not_in_trash' END
+        WHEN trashed THEN 'in_trash'
+        WHEN kind IN ('delete', 'confirm') THEN 'live'
+        WHEN kind = 'patch' AND field = 'grossAmountOriginal' AND TRY_CAST(wanted AS DECIMAL(18,2)) IS NULL THEN 'invalid'
+        WHEN kind = 'treatment' THEN CASE WHEN (direction = 'income') = (wanted = 'DE_DOMESTIC_0_EXEMPT') THEN 'live' ELSE 'invalid' END
+        WHEN kind = 'payment' AND wanted_status IS NULL THEN 'invalid'
+        WHEN was IS NOT DISTINCT FROM wanted AND was_status IS NOT DISTINCT FROM wanted_status THEN 'same'
+        ELSE 'live' END AS fate
+    FROM (
+      SELECT r.id, c.place, c.change_id, c.kind, c.field, c.moment, r.trashed, r.gone, r.lifecycle, r.direction, r.code, r.by_hand, r.description, r.gross, r.paid_on, r.payment_status, r.invoice_date,
+        CASE c.kind WHEN 'patch' THEN CASE c.field WHEN 'description' THEN r.description ELSE r.gross END
+          WHEN 'payment' THEN r.paid_on WHEN 'direction' THEN r.direction WHEN 'treatment' THEN r.code END AS was,
+        CASE WHEN c.kind = 'payment' THEN r.payment_status END AS was_status,
+        CASE WHEN c.kind <> 'payment' THEN c.value WHEN c.value = 'invoice_date' THEN r.invoice_date WHEN c.value NOT IN ('not_paid', 'unknown') THEN c.value END AS wanted,
+        CASE WHEN c.kind = 'payment' THEN CASE WHEN c.value = 'not_paid' THEN 'unpaid' WHEN c.value = 'unknown' THEN 'unknown'
+          WHEN c.value = 'invoice_date' AND r.invoice_date IS NULL THEN NULL ELSE 'paid' END END AS wanted_status
+      FROM replay r JOIN chg c ON c.id = r.id AND c.place = r.place + 1))
+)
+"""
 
 
-def _live_sql(at: str) -> str:
-    return (
-        f"COALESCE(CASE WHEN del_at IS NOT NULL AND {at} > del_at THEN res_at > del_at AND {at} > res_at "
-        f"WHEN res_at IS NOT NULL AND {at} > res_at THEN TRUE ELSE NOT is_deleted END, FALSE) AND {at} IS NOT NULL"
-    )
+def _replayed(select: str) -> str:
+    return with_ctes(DOCS, _REPLAY).replace("WITH", "WITH RECURSIVE", 1) + select
 
 
 @query(
     "changes_applied",
-    with_ctes(DOCS, _CHANGES.format(pay=_live_sql("pay_at"), desc=_live_sql("desc_at"), gross=_live_sql("gross_at")))
-    + """SELECT id, deleted_now AS is_deleted,
-  CASE WHEN desc_live THEN 'note ' || desc_id ELSE description END AS description,
-  CAST(CASE WHEN gross_live THEN gross_value ELSE gross_amount_original END AS DOUBLE) AS gross_amount_original,
-  CASE mode WHEN 'invoice_date' THEN CASE WHEN invoice_date IS NULL THEN payment_status ELSE 'paid' END WHEN 'not_paid' THEN 'unpaid' WHEN 'unknown' THEN 'unknown' WHEN 'date' THEN 'paid' ELSE payment_status END AS payment_status,
-  CAST(CASE mode WHEN 'invoice_date' THEN COALESCE(invoice_date, payment_date) WHEN 'not_paid' THEN NULL WHEN 'unknown' THEN NULL WHEN 'date' THEN DATE '2024-05-05' ELSE payment_date END AS VARCHAR) AS payment_date
-FROM paid""",
+    _replayed(
+        """SELECT id, trashed AS is_deleted, description, CAST(gross AS DOUBLE) AS gross_amount_original, payment_status,
+  paid_on AS payment_date, direction, by_hand AS chosen_by_hand, CASE WHEN by_hand THEN code END AS chosen_treatment, lifecycle
+FROM replay QUALIFY row_number() OVER (PARTITION BY id ORDER BY place DESC) = 1"""
+    ),
 )
 def changes_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lifecycle = F.when(F.col("outcome").isin("purged", "deleted", "restored"), F.col("outcome")).otherwise("kept")
     return flat(
         changed_documents(spark, sf_dir).select(
-            "id", F.col("deleted_at").isNotNull().alias("is_deleted"), "description", "gross_amount_original",
-            "payment_status", "payment_date",
+            "id",
+            F.col("deleted_at").isNotNull().alias("is_deleted"),
+            "description",
+            "gross_amount_original",
+            "payment_status",
+            "payment_date",
+            "direction",
+            F.col("manual_override").alias("chosen_by_hand"),
+            F.when(F.col("manual_override"), F.col("vat_treatment_code")).alias("chosen_treatment"),
+            lifecycle.alias("lifecycle"),
         )
     )
 
 
+@query(
+    "change_fates",
+    _replayed(
+        """SELECT id, change_id, kind, fate FROM replay WHERE place > 0
+UNION ALL SELECT id, change_id, kind, 'unknown_document' FROM chg WHERE id NOT IN (SELECT id FROM docs)"""
+    ),
+)
+def change_fates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(resolved_changes(spark, sf_dir).select("id", "change_id", "kind", "fate"))
+
+
+@query(
+    "change_rejects",
+    _replayed(
+        """SELECT fate AS reason, kind, count(*) AS changes FROM (SELECT kind, fate FROM replay WHERE place > 0
+UNION ALL SELECT kind, 'unknown_document' FROM chg WHERE id NOT IN (SELECT id FROM docs)) WHERE fate <> 'live' GROUP BY ALL"""
+    ),
+)
+def change_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rejects = changes.rejected_changes(resolved_changes(spark, sf_dir))
+    return flat(rejects.groupBy("reason", "kind").agg(F.count("*").alias("changes")))
+
+
 @query("change_outcomes")
 def change_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.lifecycle_counts(changed_documents(spark, sf_dir))
 
 
-@query("change_audit")
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.audit_rows(resolved_changes(spark, sf_dir), changed_documents(spark, sf_dir))
+
+
+@query(
+    "change_audit",
+    _replayed(
+        """SELECT id AS document_id, change_id, strftime(moment, '%Y-%m-%d %H:%M:%S') AS "at",
+  CASE kind WHEN 'patch' THEN 'manual_correction' WHEN 'payment' THEN 'payment_date_change' WHEN 'direction' THEN 'direction_change'
+    WHEN 'treatment' THEN 'tax_classification_change' WHEN 'purge' THEN 'hard_delete' ELSE kind END AS event_type,
+  CASE kind WHEN 'patch' THEN '{"field":"' || field || '"' || COALESCE(',"value":"' || was || '"', '') || '}'
+    WHEN 'payment' THEN '{' || COALESCE('"payment_date":"' || was || '",', '') || '"payment_status":"' || was_status || '"}'
+    WHEN 'direction' THEN '{"direction":"' || was || '"}' WHEN 'treatment' THEN '{"vat_treatment_code":"' || was || '"}' END AS previous_value,
+  CASE kind WHEN 'patch' THEN '{"field":"' || field || '","value":"' || wanted || '"}'
+    WHEN 'payment' THEN '{' || COALESCE('"payment_date":"' || wanted || '",', '') || '"payment_status":"' || wanted_status || '"}'
+    WHEN 'direction' THEN '{"direction":"' || wanted || '"}' WHEN 'treatment' THEN '{"vat_treatment_code":"' || wanted || '"}'
+    WHEN 'delete' THEN '{"trashed":true}' END AS next_value
+FROM replay WHERE fate = 'live' AND kind <> 'confirm'"""
+    ),
+)
 def change_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = changed_documents(spark, sf_dir).select(F.col("id").alias("document_id"), F.explode_outer("audit").alias("a")).filter(F.col("a").isNotNull())
-    return flat(rows.select("document_id", "a.event_type", "a.next_value", "a.at"))
+    """The audit rows but for confirmations, which rest on the issues of the whole document."""
+    return flat(_audit(spark, sf_dir).filter("event_type <> 'confirm'"))
+
+
+@query("change_confirmations")
+def change_confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(_audit(spark, sf_dir).filter("event_type = 'confirm'").drop("change_id"))
 
 
 @query(

@@ -177,8 +177,60 @@ def test_change_stream(spark, tmp_path):
     write(changes, 0)  # run again: replaces its own output
     from taxlake.operators.changes import latest_versions
 
-    rows = {r.id: r for r in latest_versions(spark.read.parquet(versions)).collect()}
+    now = lambda: {r.id: r for r in latest_versions(intake.stored_versions(spark, versions)).collect()}
+    rows = now()
     assert rows["O1"].payment_status == "unpaid" and rows["O2"].deleted_at == at
     assert rows["O3"].description == "new text" and rows["O3"].review_status == "needs_review"
     assert spark.read.parquet(versions).count() == 6
     assert {r.event_type for r in spark.read.parquet(audit).collect()} == {"payment_date_change", "delete", "manual_correction"}
+    # an edit that comes late, a purge, and a purge of a document that isn't in the trash
+    late = dt.datetime(2001, 1, 1)
+    later = [("O3", 4, late, "patch", "description", "late text"), ("O2", 5, at, "purge", None, None), ("O1", 6, at, "purge", None, None)]
+    write(spark.createDataFrame(later, changes.schema), 1)
+    rows = now()
+    assert set(rows) == {"O1", "O3"} and rows["O3"].description == "late text" and rows["O3"].updated_at > at
+    write(spark.createDataFrame([("O2", 7, at, "restore", None, None)], changes.schema), 2)
+    assert set(now()) == {"O1", "O3"}
+
+
+def test_changes_in_order(spark):
+    from taxlake.operators import changes as state_changes
+
+    docs = books.documents(spark, SF).filter("id in ('O1', 'O2')").withColumn("vat_method", F.lit("ist")).coalesce(1)
+    day = lambda d: dt.datetime(2030, 1, d)
+    batch = spark.createDataFrame(
+        [
+            ("O1", 1, day(1), "delete", None, None),
+            ("O1", 2, day(2), "patch", "description", "in the trash"),
+            ("O1", 3, day(3), "restore", None, None),
+            ("O1", 4, day(4), "patch", "description", "first"),
+            ("O1", 5, day(5), "patch", "description", "second"),
+            ("O1", 6, day(5), "patch", "description", "second"),
+            ("O1", 7, day(6), "patch", "grossAmountOriginal", "a lot"),
+            ("O1", 8, day(7), "patch", "noSuchField", "x"),
+            ("O1", 9, day(8), "delete", None, None),
+            ("O2", 10, day(1), "purge", None, None),
+            ("O2", 11, day(2), "delete", None, None),
+            ("O2", 12, day(3), "purge", None, None),
+            ("O2", 13, day(4), "restore", None, None),
+            ("X", 14, day(1), "delete", None, None),
+            ("O2", 15, None, None, None, None),
+            (None, 16, day(1), "delete", None, None),
+        ],
+        "id string, change_id long, at timestamp, kind string, field string, value string",
+    )
+    resolved = state_changes.resolve(docs, batch).cache()
+    fates = {r.change_id: r.fate for r in resolved.collect()}
+    assert [fates[i] for i in range(1, 17)] == [
+        "live", "in_trash", "live", "live", "live", "same", "invalid", "invalid", "live",
+        "not_in_trash", "live", "live", "purged", "unknown_document", "invalid", "unknown_document",
+    ]
+    changed = state_changes.apply_changes(docs, resolved).cache()
+    rows = {r.id: r for r in changed.collect()}
+    assert (rows["O1"].outcome, rows["O1"].description, rows["O1"].deleted_at) == ("deleted", "second", day(8))
+    assert rows["O2"].outcome == "purged"
+    audit = state_changes.audit_rows(resolved, changed).filter("document_id = 'O1'").orderBy("change_id").collect()
+    assert [r.change_id for r in audit] == [1, 3, 4, 5, 9]
+    assert audit[3].previous_value == '{"field":"description","value":"first"}'
+    assert state_changes.rejected_changes(resolved).count() == 9
+    assert state_changes.resolve(docs, batch.limit(0)).count() == 0
