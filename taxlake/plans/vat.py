@@ -15,7 +15,7 @@ _EU = "('AT','BE','BG','HR','CY','CZ','DK','EE','FI','FR','DE','GR','HU','IE','I
 
 _TOPIC_SQL = ", ".join(
     "CASE WHEN regexp_matches(description, '(?i)"
-    + pattern.replace("{edge}", r"\b").replace("{end}", r"\b")
+    + pattern
     + f"') THEN 'special_rule_{topic}' END"
     for topic, pattern in SPECIAL_TOPICS.items()
 )
