@@ -5,11 +5,11 @@ vocabularies measure every text: characters per token under a byte-level BPE, th
 that fall back to single bytes under a piece BPE, and the entropy of its tokens against the most that
 many tokens can have. A text is rejected when a measure lies outside the band of its language and script.
 
-Bands come from all documents that pass the base rules: median plus or minus ``width`` times the
-quartile range (at least ``FLOORS``) of each group of language, script and length class. Quartiles are
-exact on values rounded to ``DIGITS`` digits, so they don't depend on the order of rows and tasks hold
+Bands come from all different texts that pass the base rules, so copies of a text count once: median plus
+or minus ``width`` times the quartile range (at least ``FLOORS``) of each group of language, script and
+length class. Quartiles are exact on values rounded to ``DIGITS`` digits, so they don't depend on the order of rows and tasks hold
 a count per rounded value, however many rows there are; the length class is there because the entropy of running text falls with its length.
-A group of fewer than ``LEAST_GROUP`` such documents uses the bands of its length class, and a length
+A group of fewer than ``LEAST_GROUP`` such texts uses the bands of its length class, and a length
 class of fewer than that many has no bands.
 
 Tokens are those of the text's words: a word is tokenised once per slice of texts, however often it is
@@ -116,8 +116,8 @@ def _measure(piece: bytes, ranks: bytes):
             kinds = [pa.int64()] * 5 + [pa.string(), pa.int64()] + [pa.float64()] * 3
             names = [f.split()[0] for f in MEASURES.split(", ")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                names=["doc_id", "lang", *names],
+                [batch.column("doc_id"), batch.column("lang"), batch.column("text_hash"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                names=["doc_id", "lang", "text_hash", *names],
             )
 
     return run
@@ -162,15 +162,15 @@ def _slice(tools: _Vocabularies, data: np.ndarray, at: np.ndarray) -> list[tuple
 
 
 def measures(docs: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
-    """(doc_id, lang, counts and measures) per row of ``docs`` (doc_id, text, lang), plus base_failed.
+    """(doc_id, lang, text_hash, counts and measures) per row of ``docs`` (doc_id, text, lang), plus base_failed.
 
     The two vocabulary files are read once, by the driver, and sent along: half a megabyte each.
     """
     piece = (Path(tokenizers) / "piece_bpe_32k.model").read_bytes()
     ranks = (Path(tokenizers) / "byte_bpe_50k.tiktoken").read_bytes()
-    rows = only(docs, "doc_id", "text", "lang").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = only(docs, "doc_id", "text", "lang").withColumns({"doc_id": F.col("doc_id").cast("long"), "text_hash": F.xxhash64("text")})
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return rows.mapInArrow(_measure(piece, ranks), f"doc_id long, lang string, {MEASURES}").withColumn(
+    return rows.mapInArrow(_measure(piece, ranks), f"doc_id long, lang string, text_hash long, {MEASURES}").withColumn(
         "base_failed", failed
     )
 
@@ -188,12 +188,15 @@ def _band(name: str, quartiles: Column, width: float, low: bool, high: bool) ->
 def judged(measured: DataFrame, width: float = WIDTH) -> DataFrame:
     """``measured`` with ``kept``: base rules passed and every measure inside the band of its group."""
     classed = measured.withColumn("class", F.floor(F.log2(F.greatest("n_words", F.lit(1))) * 2))
-    passing = classed.where("not base_failed")
-    quartiles = {name: F.percentile(F.round(name, DIGITS), [0.25, 0.5, 0.75]) for name in FLOORS}
+    rounded = [F.round(name, DIGITS).alias(name) for name in FLOORS]
+    passing = classed.where("not base_failed").select("lang", "script", "class", "text_hash", *rounded)
+    quartiles = {name: F.percentile(name, [0.25, 0.5, 0.75]) for name in FLOORS}
 
     def bands(prefix: str, *by: str) -> DataFrame:
         return (
-            passing.groupBy(*by)
+            passing.select(*by, "text_hash", *FLOORS)
+            .distinct()  # each text once
+            .groupBy(*by)
             .agg(F.count("*").alias("members"), *(q.alias(f"{prefix}_{name}") for name, q in quartiles.items()))
             .where(f"members >= {LEAST_GROUP}")
             .drop("members")
@@ -222,7 +225,7 @@ def fertility_rules(docs: DataFrame, tokenizers: str = TOKENIZERS, width: float
 
     The measures are stored once: the bands need all of them before the first verdict.
     """
-    return judged(stored(measures(docs, tokenizers)), width)
+    return judged(stored(measures(docs, tokenizers)), width).drop("text_hash")
 
 
 def passing_rows(docs: DataFrame, tokenizers: str = TOKENIZERS, width: float = WIDTH) -> DataFrame:

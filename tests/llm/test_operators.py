@@ -193,6 +193,22 @@ def test_fertility_counts_and_bands(spark, docs, empty):
     assert fertility.passing_rows(docs).columns == docs.columns
 
 
+MEASURED = (
+    "doc_id long, lang string, text_hash long, n_words long, script string, n_tokens long, chars_per_token double, "
+    "fallback_share double, token_entropy double, base_failed boolean"
+)
+
+
+def measured(doc_id, text_hash, chars, n_words=150, lang="en", entropy=0.8, failed=False):
+    return (doc_id, lang, text_hash, n_words, "latin", n_words, chars, 0.0, entropy, failed)
+
+
+def test_fertility_bands_count_copies_once(spark):
+    rows = [measured(i, i, 4.0 + i / 40) for i in range(40)] + [measured(1_000 + i, 1, 4.025) for i in range(400)]
+    kept = fertility.judged(spark.createDataFrame(rows, MEASURED)).where("kept").count()
+    assert kept == len(rows)
+
+
 def test_masks_tolerate_two_replaced_words():
     for pair in itertools.combinations(range(14), 2):
         assert any(
