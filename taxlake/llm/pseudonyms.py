@@ -8,7 +8,8 @@ kind       valid when                                  permuted
 =========  ==========================================  ============================================
 card       13-19 digits, Luhn sum right                all digits but the first; check digit anew
 iban       remainder 1 modulo 97                       account part by character class; check anew
-phone      +1 numbers: area and exchange from 200 up   area, exchange and line as one number
+phone      ten digits after +1, as (ddd) ddd-dddd, or  the ten digits as one number; those with area
+           bare with area and exchange from 200 up     and exchange from 200 up among themselves
 phone      other + numbers of 8 to 15 digits           digits after the first two
 ip         four octets up to 255                       the 32 bits
 ssn        area, group and serial in use               the three as one number
@@ -36,8 +37,12 @@ DAYS = 146_097  # days of any 400 years; 627 * 233
 #: Candidate values, one alternative a kind. Fixed values.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-NANP = r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d)|\+1[2-9]\d{2}[2-9]\d{6}(?!\d)"
-ABROAD = r"\+[2-9](?:[ .-]?\(?\d{1,4}\)?){2,8}(?!\d)"
+#: +1, or bracket and hyphen, mark any ten digits as a number; without them only area and exchange from 200 up do.
+NANP = (
+    r"\+1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])(?:1[ .-]?)?\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
+    r"|(?<![\w+])(?:1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d)"
+)
+ABROAD = r"\+[1-9](?:[ .-]?\(?\d{1,4}\)?){2,8}(?!\d)"
 IP = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 ISO_DAY = r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])"
@@ -167,23 +172,40 @@ def _iban(value: Column, key: str) -> Column:
 
 
 def _nanp(value: Column, key: str) -> Column:
+    """Numbers in the strict range stay in it, however they are written; the others stay outside it."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     ten = F.right(digits, F.lit(10))
-    area, exchange, line = _part(ten, 1, 3) - 200, _part(ten, 4, 3) - 200, _part(ten, 7, 4)
-    new = feistel_pair(
-        area * 100 + exchange % 100, F.floor(exchange / 100) * 10_000 + line, 80_000, 80_000, key, F.lit("phone")
+    area, exchange, line = _part(ten, 1, 3), _part(ten, 4, 3), _part(ten, 7, 4)
+    # 800 areas of 800 exchanges; then 200 areas of all exchanges and 800 areas of 200 exchanges: 60,000 squared
+    strict = (area >= 200) & (exchange >= 200)
+    inside = feistel_pair(
+        (area - 200) * 100 + (exchange - 200) % 100, F.floor((exchange - 200) / 100) * 10_000 + line, 80_000, 80_000,
+        key, F.lit("phone"),
     )
+    rank = F.when(area < 200, ten.cast("long")).otherwise(2_000_000_000 + (area - 200) * 2_000_000 + exchange * 10_000 + line)
+    outside = feistel_pair(F.floor(rank / 60_000), rank % 60_000, 60_000, 60_000, key, F.lit("phone outside"))
 
-    def shown(n: Column) -> Column:
-        signs = F.concat(
-            F.substr(digits, F.lit(1), F.length(digits) - 10),
+    def shown(new: Column) -> Column:
+        signs = F.concat(F.substr(digits, F.lit(1), F.length(digits) - 10), new)
+        return _let(signs, lambda x: _filled(value, x))
+
+    def strict_digits(n: Column) -> Column:
+        return F.concat(
             _padded(F.floor(n["h"] / 100) + 200, 3),
             _padded(F.floor(n["l"] / 10_000) * 100 + n["h"] % 100 + 200, 3),
             _padded(n["l"] % 10_000, 4),
         )
-        return _let(signs, lambda x: _filled(value, x))
 
-    return _let(new, shown)
+    def other_digits(n: Column) -> Column:
+        def unranked(r: Column) -> Column:
+            late = r - 2_000_000_000
+            return F.when(r < 2_000_000_000, _padded(r, 10)).otherwise(
+                F.concat(_padded(F.floor(late / 2_000_000) + 200, 3), _padded(late % 2_000_000, 7))
+            )
+
+        return _let(n["h"] * 60_000 + n["l"], unranked)
+
+    return F.when(strict, _let(_let(inside, strict_digits), shown)).otherwise(_let(_let(outside, other_digits), shown))
 
 
 def _abroad(value: Column, key: str) -> Column:

@@ -289,6 +289,23 @@ def test_pseudonyms_keep_format_and_links(spark, docs, empty):
     assert pseudonyms.pseudonymised(docs, "key").columns == docs.columns
 
 
+def test_pseudonyms_of_all_numbers_with_one(spark):
+    forms = [
+        "+1 (017) 555-7713", "+1 (171) 555-2028", "+1 017-555-7713", "+10175557713", "(017) 555-7713", "1 (555) 123-4567",
+        "+1 (522) 155-2427", "+1 522 555 242 712",
+    ]
+    df = spark.createDataFrame(list(enumerate(f"call {x}, now" for x in forms)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pseudonyms.pseudonymised(df, "key", count="found").collect()}
+    new = [rows[i].text[5:-5] for i in range(len(forms))]
+    assert all(rows[i].found == 1 for i in rows) and all(a != b for a, b in zip(new, forms))
+    assert [re.sub(r"\d", "0", x) for x in new] == [re.sub(r"\d", "0", x) for x in forms]
+    assert len({re.sub(r"\D", "", new[i])[-10:] for i in (0, 2, 3, 4)}) == 1
+    ids = (F.col("id") * 2_499_983).cast("string")
+    many = spark.range(4_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("+1"), F.lpad(ids, 10, "0")).alias("text"))
+    out = pseudonyms.pseudonymised(many, "key", count="found").collect()
+    assert len({r.text for r in out}) == 4_000 and all(r.found == 1 and len(r.text) == 12 for r in out)
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(7 * 5).select(
         pseudonyms.feistel_pair(F.col("id") % 7, F.floor(F.col("id") / 7), 7, 5, "k", F.lit("t")).alias("p")
