@@ -17,8 +17,11 @@ date       a real day of 1800 to 2199                  the day's number within t
 email      one @ and a dotted domain                   letters and digits of the local part
 =========  ==========================================  ============================================
 
-Separators, brackets and the written form of a date stay. A value that fails its validation is left as
-it is. Everything is row-local: no shuffle, no state.
+Separators, brackets and the written form of a date stay. The kinds are looked for one after the other; a
+value that fails the validation of one kind is left to the next ones, and stays as it is if none takes it.
+Cards are looked for from every group of digits of a run on, the longest valid one first; an IBAN has the length of
+its country, where that is known; a number abroad ends with the last group of digits that keeps it at 15.
+Everything is row-local: no shuffle, no state.
 
 Defined results: a null text stays null with 0 values, an empty text stays empty; repeated rows get
 equal pseudonyms; every other column is passed on, whatever its name.
@@ -27,6 +30,7 @@ equal pseudonyms; every other column is passed on, whatever its name.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +38,20 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 DAYS = 146_097  # days of any 400 years; 627 * 233
 
-#: Candidate values, one alternative a kind. Fixed values.
+#: Length of an IBAN by country: the registry's fixed values.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK ST TN VG",
+    25: "LY PT", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO EG GT HU LB NI PL SV",
+    29: "BR PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+#: Candidate values of each kind. Fixed values.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+IBAN_OF_COUNTRY = r"(?<![A-Za-z0-9])(?:" + "|".join(
+    rf"(?:{lands.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, lands in IBAN_LENGTHS.items()
+) + r")(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 #: +1, or bracket and hyphen, mark any ten digits as a number; without them only area and exchange from 200 up do.
 NANP = (
@@ -45,16 +61,13 @@ NANP = (
 ABROAD = r"\+[1-9](?:[ .-]?\(?\d{1,4}\)?){2,8}(?!\d)"
 IP = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-ISO_DAY = r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])"
+ISO_DAY = r"(?<![\w-])\d{4}-\d{2}-\d{2}(?!(?!T\d)[\w-])"
 WRITTEN_DAY = r"(?<![\w./])\d{1,2}([./])\d{1,2}\1\d{4}(?![\w/]|\.\d)"
-CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
-
-
-def _outer(pattern: str) -> str:
-    return pattern.replace(r"([./])\d{1,2}\1", r"[./]\d{1,2}[./]")
+#: A run of digit groups of any length, with a sign behind it that would forbid a card.
+CARD_RUN = r"(?<![\w.-])\d(?:[ -]?\d){12,}+[\w-]?+"
 
-
-FOUND = "|".join((EMAIL, IBAN, NANP, ABROAD, IP, SSN, ISO_DAY, _outer(WRITTEN_DAY), CARD))
+#: Signs that stand for the values of a kind while the next kinds are looked for; the first one for such signs of the text.
+MARKS = [chr(0xE000 + i) for i in range(12)]
 
 
 def _digest(key: str, tweak: Column, round_: Column, half: Column) -> Column:
@@ -281,39 +294,141 @@ def _email(value: Column, key: str) -> Column:
     return F.concat(feistel_text(local, key, F.concat(F.lit("email"), F.lower(domain))), domain)
 
 
-def _pseudonym(value: Column, key: str) -> Column:
-    """The pseudonym of one found value; null where it isn't valid."""
-    kinds = (
-        (EMAIL, _email), (IBAN, _iban), (NANP, _nanp), (ABROAD, _abroad), (IP, _ip), (SSN, _ssn),
-        (ISO_DAY, _iso_day), (WRITTEN_DAY, _written_day), (CARD, _card),
-    )
-    out = F.lit(None).cast("string")
-    for pattern, make in reversed(kinds):
-        shape = "^(?:" + (_outer(pattern) if pattern is WRITTEN_DAY else pattern) + ")$"
-        out = F.when(value.rlike(shape), make(value, key)).otherwise(out)
-    return out
+def _pieces(old: Column, new: Column) -> Column:
+    return F.array(F.struct(old.alias("old"), new.alias("new")))
+
+
+def _alone(make: Callable[[Column, str], Column]) -> Callable[[Column, str], Column]:
+    """A found value is one piece."""
+    return lambda value, key: _pieces(value, make(value, key))
+
+
+def _abroad_pieces(value: Column, key: str) -> Column:
+    """The longest run of whole digit groups with 8 to 15 digits, and what is behind it."""
+
+    def heads(groups: Column) -> Column:
+        all_heads = F.transform(
+            F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), "")
+        )
+        return F.get(F.filter(all_heads, lambda h: F.length(F.regexp_replace(h, "[^0-9]", "")).between(8, 15)), F.lit(0))
+
+    def cut(head: Column) -> Column:
+        rest = F.substr(value, F.length(head) + 1, F.length(value))
+        return F.concat(_pieces(head, _abroad(head, key)), _pieces(rest, F.lit(None).cast("string")))
+
+    groups = F.regexp_extract_all(value, F.lit(r"\+?[ .-]?\(?\d+\)?"), F.lit(0))
+    return _let(_let(groups, heads), lambda h: F.when(h.isNull(), _pieces(value, F.lit(None).cast("string"))).otherwise(cut(h)))
+
+
+def _card_pieces(run: Column, key: str) -> Column:
+    """The cards of a run, each from one group of digits to another; at every group the longest valid one."""
+    nothing = F.lit(None).cast("string")
+
+    def scanned(groups: Column) -> Column:
+        def longest(i: Column) -> Column:
+            """The number of groups from ``i`` on that are a card; null if there is none."""
+            near = F.slice(groups, i, F.lit(19))
+
+            def valid(near: Column) -> Callable[[Column], Column]:
+                def check(n: Column) -> Column:
+                    shown = F.array_join(F.slice(near, F.lit(1), n), "")
+                    ends = (i + n <= F.size(groups)) | shown.rlike("[0-9]$")
+                    size = F.length(shown)  # at most a sign behind every digit
+                    return size.between(13, 38) & ends & _let(
+                        F.regexp_replace(shown, "[^0-9]", ""),
+                        lambda d: F.length(d).between(13, 19) & (_luhn(d) % 10 == 0),
+                    )
+
+                return check
+
+            return _let(near, lambda x: F.get(F.filter(F.sequence(F.size(x), F.lit(1), F.lit(-1)), valid(x)), F.lit(0)))
+
+        starts = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda i: F.struct(i.alias("at"), longest(i).alias("n")))
+        none = F.array().cast("array<struct<at:int,n:int>>")
+
+        def step(chosen: Column, x: Column) -> Column:
+            last = F.get(chosen, F.size(chosen) - 1)
+            return F.when(x["at"] < F.coalesce(last["at"] + last["n"], F.lit(1)), chosen).otherwise(
+                F.concat(chosen, F.array(F.struct(x["at"].alias("at"), x["n"].cast("int").alias("n"))))
+            )
+
+        def cut(chosen: Column) -> Column:
+            def end(k: Column) -> Column:
+                before = F.get(chosen, k)
+                return F.coalesce(before["at"] + before["n"], F.lit(1))
+
+            def one(x: Column, k: Column) -> Column:
+                gap = F.array_join(F.slice(groups, end(k - 1), x["at"] - end(k - 1)), "")
+                shown = F.array_join(F.slice(groups, x["at"], x["n"]), "")
+                card = F.regexp_extract(shown, "^[0-9].*[0-9]|^[0-9]", 0)
+                behind = F.substr(shown, F.length(card) + 1, F.lit(1))
+                return F.concat(_pieces(gap, nothing), _pieces(card, _card(card, key)), _pieces(behind, nothing))
+
+            rest = F.array_join(F.slice(groups, end(F.size(chosen) - 1), F.size(groups)), "")
+            return F.concat(F.flatten(F.transform(chosen, one)), _pieces(rest, nothing))
+
+        return _let(F.aggregate(F.filter(starts, lambda x: x["n"].isNotNull()), none, step), cut)
+
+    return _let(F.regexp_extract_all(run, F.lit(r"\d+[^\d]?"), F.lit(0)), scanned)
+
+
+#: In this order; days come before the numbers abroad, which would swallow a day behind them.
+KINDS = (
+    (EMAIL, _alone(_email)), (IBAN_OF_COUNTRY, _alone(_iban)), (IBAN, _alone(_iban)), (ISO_DAY, _alone(_iso_day)),
+    (WRITTEN_DAY, _alone(_written_day)), (NANP, _alone(_nanp)), (ABROAD, _abroad_pieces), (IP, _alone(_ip)),
+    (SSN, _alone(_ssn)), (CARD_RUN, _card_pieces),
+)
+
+
+def _woven(gaps: Column, between: Column) -> Column:
+    """gap, between, gap, between, ..., gap."""
+    return F.array_join(F.flatten(F.zip_with(gaps, between, lambda g, b: F.array(g, F.coalesce(b, F.lit(""))))), "")
+
+
+def _marked(text: Column, pattern: str, mark: str, pieces: Callable[[Column], Column]) -> Column:
+    """(text, new): ``text`` with ``mark`` for every valid value, and what the marks stand for."""
+
+    def replaced(found: Column) -> Column:
+        shown = F.transform(found, lambda ps: F.array_join(F.transform(ps, lambda p: F.when(p["new"].isNull(), p["old"]).otherwise(F.lit(mark))), ""))
+        new = F.transform(F.filter(F.flatten(found), lambda p: p["new"].isNotNull()), lambda p: p["new"])
+        return F.struct(_woven(F.split(text, pattern, -1), shown).alias("text"), new.alias("new"))
+
+    none = F.struct(text.alias("text"), F.array().cast("array<string>").alias("new"))
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: pieces(v))
+    return F.when(text.rlike(f"[0-9@{MARKS[0]}-{MARKS[-1]}]") & text.rlike(pattern), _let(found, replaced)).otherwise(none)
 
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in the column ``text``; ``count`` names a column for their number."""
     source = F.col(f"`{text}`")
-    found = F.regexp_extract_all(source, F.lit(FOUND), F.lit(0))
-    has = source.rlike("[0-9@]")
-    work = docs.select(
-        *(F.col(f"`{c}`") for c in docs.columns),
-        F.when(has, F.transform(found, lambda v: F.struct(v.alias("old"), _pseudonym(v, key).alias("new")))).alias("__found"),
-    )
-    gaps = F.split(source, FOUND, -1)
-    joined = F.aggregate(
-        F.arrays_zip(F.col("__found"), F.slice(gaps, F.lit(2), F.size("__found"))),
-        gaps[0],
-        lambda s, x: F.concat(s, F.coalesce(x["__found"]["new"], x["__found"]["old"]), x["1"]),
-    )
-    columns = [
-        F.when(F.size("__found") > 0, joined).otherwise(source).alias(text) if c == text else F.col(f"`{c}`")
-        for c in docs.columns
-    ]
+    steps = [(f"[{MARKS[0]}-{MARKS[-1]}]", lambda v: _pieces(v, v))]
+    steps += [(pattern, partial(make, key=key)) for pattern, make in KINDS]
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    # one select a step: nested in one expression, the steps are too deep for the analyser
+    work = docs.select(*kept, F.struct(source.alias("text"), F.array().cast("array<array<string>>").alias("new")).alias("__state"))
+
+    def marked(pattern: str, mark: str, pieces: Callable[[Column], Column]) -> Column:
+        def added(s: Column) -> Column:
+            return _let(
+                _marked(s["text"], pattern, mark, pieces),
+                lambda m: F.struct(m["text"].alias("text"), F.concat(s["new"], F.array(m["new"])).alias("new")),
+            )
+
+        return _let(F.col("__state"), added)
+
+    def unmarked(s: Column) -> Column:
+        def shown(out: Column, at: Column) -> Column:
+            new = F.get(s["new"], at)
+            mark = F.get(F.array(*(F.lit(m) for m in MARKS)), at)
+            return F.when(F.size(new) == 0, out).otherwise(_woven(F.split(out, mark, -1), new))
+
+        return F.struct(F.aggregate(F.sequence(F.lit(len(steps) - 1), F.lit(0), F.lit(-1)), s["text"], shown).alias("text"), s["new"].alias("new"))
+
+    for mark, (pattern, pieces) in zip(MARKS, steps):
+        work = work.select(*kept, marked(pattern, mark, pieces).alias("__state"))
+    work = work.select(*kept, _let(F.col("__state"), unmarked).alias("__state"))
+    columns = [F.col("__state.text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if count:
-        valid = F.size(F.filter("__found", lambda x: x["new"].isNotNull()))
-        columns.append(F.when(F.col("__found").isNull(), 0).otherwise(valid).cast("long").alias(count))
+        values = F.aggregate(F.slice("__state.new", 2, len(steps)), F.lit(0), lambda n, new: n + F.size(new))
+        columns.append(values.cast("long").alias(count))
     return work.select(*columns)

@@ -306,6 +306,28 @@ def test_pseudonyms_of_all_numbers_with_one(spark):
     assert len({r.text for r in out}) == 4_000 and all(r.found == 1 and len(r.text) == 12 for r in out)
 
 
+def test_pseudonyms_beside_other_values(spark):
+    card, spaced, day = "4649240038356417", "4649 2400 3835 6417", "2024-01-05"
+    texts = {  # text: what must be gone
+        f"{card} 12/27": [card], f"12 {card}": [card], f"{spaced} 123": [spaced], f"{card} {spaced}.": [card, spaced],
+        f"{card} 12/27/2024": [card, "12/27/2024"], f"7 {card}-99 8": [card], "1 " * 20_000 + card: [card],
+        "ES91 2100 0418 4502 0005 1332 EUR": ["0418 4502 0005 1332"], "BE68 5390 0754 7034 EUR": ["5390 0754 7034"],
+        f"+49 30 1234567 {day}": ["30 1234567", day], "+49 30 1234567 29.02.2024": ["30 1234567", "29.02.2024"],
+        "+49 30 1234567 123456": ["30 1234567"], f"{day}T12:30:00Z": [day], f"+49 30 1234567 {card}": ["30 1234567", card],
+        f"\ue000 {card} \ue00b \ue001 a1@b2.org": [card, "a1@"],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pseudonyms.pseudonymised(df, "key", count="found").collect()}
+    for i, (old, gone) in enumerate(texts.items()):
+        new = rows[i].text
+        assert not [g for g in gone if g in new] and rows[i].found == len(gone), (old[:60], new[:60])
+        assert re.sub("[A-Za-z0-9]", "0", new) == re.sub("[A-Za-z0-9]", "0", old)
+    assert rows[7].text.endswith(" EUR") and rows[0].text.endswith(" 12/27") and rows[11].text.endswith(" 123456")
+    kept = ["4649240038356417a", "4649240038356418 12", f"{day}Tuesday", f"{day}-1"]
+    df = spark.createDataFrame(list(enumerate(kept)), "doc_id long, text string")
+    assert [r.text for r in pseudonyms.pseudonymised(df, "key").orderBy("doc_id").collect()] == kept
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(7 * 5).select(
         pseudonyms.feistel_pair(F.col("id") % 7, F.floor(F.col("id") / 7), 7, 5, "k", F.lit("t")).alias("p")
