@@ -255,6 +255,23 @@ def test_decontamination_against_brute_force(spark, docs, empty):
     assert decontaminate.without_leaks(docs, bench.limit(0)).count() == len(odd_rows())
 
 
+def test_decontamination_of_short_items(spark):
+    rng = random.Random(6)
+    han = "水火木金土日月山川田"
+
+    def replaced(text, *at):
+        return " ".join("other" if i in at else w for i, w in enumerate(text.split()))
+
+    items = [words(rng, n, 5_000) for n in (14, 15, 17, 3, 12)] + [han]
+    texts = [replaced(items[0], 4, 9), replaced(items[1], 5, 10), replaced(items[2], 7, 9, 10), items[3], replaced(items[4], 8), "雨" + han + "風"]
+    around = [f"{words(rng, 20, 5_000)} {t}, {words(rng, 20, 5_000)}" for t in texts]
+    around += [" ".join(reversed(items[3].split())), " ".join(items[3].split()[:2]), " ".join(items[0].split()[:5]), ""]
+    df = spark.createDataFrame(list(enumerate(around)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(df, bench).collect()}
+    assert got == {(0, 0): 8, (1, 1): 9, (2, 2): 8, (3, 3): 3, (4, 4): 9, (5, 5): 10}
+
+
 def luhn(digits):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
 
