@@ -9,8 +9,10 @@ Bands come from all different texts that pass the base rules, so copies of a tex
 or minus ``width`` times the quartile range (at least ``FLOORS``) of each group of language, script and
 length class. Quartiles are exact on values rounded to ``DIGITS`` digits, so they don't depend on the order of rows and tasks hold
 a count per rounded value, however many rows there are; the length class is there because the entropy of running text falls with its length.
-A group of fewer than ``LEAST_GROUP`` such texts uses the bands of its length class, and a length
-class of fewer than that many has no bands.
+A group of fewer than ``LEAST_GROUP`` such texts uses the nearest length class of its language and script that has
+as many, else all lengths of its language and script, else the nearest length class of all languages, else
+all texts that pass: every passing row is judged. Entropies of other lengths are moved along the slope at which the
+groups' medians change from class to class.
 
 Tokens are those of the text's words: a word is tokenised once per slice of texts, however often it is
 used, with the blank that precedes a word in running text. White space itself has no tokens.
@@ -28,7 +30,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxlake.llm.shared import only, slices, stored, text_buffers
@@ -175,49 +177,101 @@ def measures(docs: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
     )
 
 
-def _band(name: str, quartiles: Column, width: float, low: bool, high: bool) -> Column:
+def _band(name: str, value: Column, width: float, low: bool, high: bool) -> Column:
+    quartiles = F.col(f"band.{name}")
     reach = F.greatest(quartiles[2] - quartiles[0], F.lit(FLOORS[name])) * width
     inside = F.lit(True)
     if low:
-        inside = inside & (F.col(name) >= quartiles[1] - reach)
+        inside = inside & (value >= quartiles[1] - reach)
     if high:
-        inside = inside & (F.col(name) <= quartiles[1] + reach)
+        inside = inside & (value <= quartiles[1] + reach)
     return inside
 
 
+def _quartiles(texts: DataFrame, *by: str) -> DataFrame:
+    """(by, members, band): quartiles of all measures over the different texts of each group."""
+    quartiles = (F.percentile(name, [0.25, 0.5, 0.75]).alias(name) for name in FLOORS)
+    return texts.select(*by, "text_hash", *FLOORS).distinct().groupBy(*by).agg(
+        F.count("*").alias("members"), F.struct(*quartiles).alias("band")
+    )
+
+
+def _slope(texts: DataFrame) -> DataFrame:
+    """(slope): how the median entropy of a language and script moves from a length class to the next.
+
+    Least squares over the classes with enough members within the groups, in whole numbers, so that it doesn't depend on the order of rows. One row.
+    """
+    medians = _quartiles(texts, "lang", "script", "class").select(
+        "lang", "script", F.col("class").alias("x"), F.round(F.col("band.token_entropy")[1] * 10**DIGITS).cast("long").alias("y"),
+        (F.col("members") >= LEAST_GROUP).alias("full"),
+    )
+
+    def squares(which: Column, a: str, b: str) -> Column:
+        def total(c: Column) -> Column:
+            return F.sum(F.when(which, c))
+
+        return total(F.lit(1)) * total(F.col(a) * F.col(b)) - total(F.col(a)) * total(F.col(b))
+
+    sums = medians.groupBy("lang", "script").agg(*(
+        squares(which, "x", b).alias(f"{name}_x{b}")
+        for name, which in (("full", F.col("full")), ("any", F.lit(True))) for b in "xy"
+    ))
+    # without two full classes of one group, all of them
+    full, some = (F.try_divide(F.sum(f"{name}_xy"), F.sum(f"{name}_xx")) for name in ("full", "any"))
+    return sums.agg(F.round(F.coalesce(full, some, F.lit(0.0)) / 10**DIGITS, DIGITS).alias("slope"))
+
+
+def _nearest(rows: DataFrame, name: str, *by: str) -> DataFrame:
+    """``rows`` (class, members, band) plus ``name``: the band of the nearest class with enough members, the lower of two."""
+    order = Window.partitionBy(*by).orderBy("class")
+    full = F.when(F.col("members") >= LEAST_GROUP, F.struct("class", "band"))
+    below = F.last(full, True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.first(full, True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    closer = F.col("__above.class") - F.col("class") < F.col("class") - F.col("__below.class")
+    nearer = F.col("__below").isNull() | F.coalesce(closer, F.lit(False))
+    return (
+        rows.withColumns({"__below": below, "__above": above})
+        .withColumn(name, F.when(nearer, F.col("__above.band")).otherwise(F.col("__below.band")))
+        .drop("__below", "__above")
+    )
+
+
 def judged(measured: DataFrame, width: float = WIDTH) -> DataFrame:
     """``measured`` with ``kept``: base rules passed and every measure inside the band of its group."""
     classed = measured.withColumn("class", F.floor(F.log2(F.greatest("n_words", F.lit(1))) * 2))
     rounded = [F.round(name, DIGITS).alias(name) for name in FLOORS]
-    passing = classed.where("not base_failed").select("lang", "script", "class", "text_hash", *rounded)
-    quartiles = {name: F.percentile(name, [0.25, 0.5, 0.75]) for name in FLOORS}
-
-    def bands(prefix: str, *by: str) -> DataFrame:
-        return (
-            passing.select(*by, "text_hash", *FLOORS)
-            .distinct()  # each text once
-            .groupBy(*by)
-            .agg(F.count("*").alias("members"), *(q.alias(f"{prefix}_{name}") for name, q in quartiles.items()))
-            .where(f"members >= {LEAST_GROUP}")
-            .drop("members")
-        )
-
-    own, wide = bands("own", "lang", "script", "class"), bands("wide", "class")
+    texts = stored(classed.where("not base_failed").select("lang", "script", "class", "text_hash", *rounded).distinct())
+    slope = stored(_slope(texts))
+    # entropies as they would be at class 0
+    level = F.col("token_entropy") - F.col("slope") * F.col("class")
+    texts = texts.join(F.broadcast(slope)).withColumn("token_entropy", F.round(level, DIGITS)).drop("slope")
+
+    own = _nearest(_quartiles(texts, "lang", "script", "class"), "near", "lang", "script").drop("members", "band")
+    whole = _quartiles(texts, "lang", "script").where(F.col("members") >= LEAST_GROUP).select(
+        F.col("lang").alias("__lang"), F.col("script").alias("__script"), F.col("band").alias("whole")
+    )
+    wide = _nearest(_quartiles(texts, "class"), "wide").select("class", "wide")  # at most 128 length classes
+    every = _quartiles(texts).select(F.col("band").alias("every"))
+    bands = (
+        own.join(whole, F.col("lang").eqNullSafe(F.col("__lang")) & (F.col("script") == F.col("__script")), "left")
+        .join(F.broadcast(wide), "class")
+        .join(F.broadcast(every))
+        .join(F.broadcast(slope))
+        .select("lang", "script", "class", "slope", F.coalesce("near", "whole", "wide", "every").alias("band"))
+    )
     joined = classed.alias("m").join(
-        own.alias("g"),
+        bands.alias("g"),
         F.col("m.lang").eqNullSafe(F.col("g.lang"))
         & (F.col("m.script") == F.col("g.script"))
         & (F.col("m.class") == F.col("g.class")),
         "left",
-    ).select("m.*", *(f"g.own_{name}" for name in FLOORS)).join(F.broadcast(wide), "class", "left")  # at most 128 length classes
+    ).select("m.*", "g.slope", "g.band")
     ok = F.lit(True)
     for name, (low, high) in {
         "chars_per_token": (True, True), "fallback_share": (False, True), "token_entropy": (True, False),
     }.items():
-        ok = ok & _band(name, F.coalesce(f"own_{name}", f"wide_{name}"), width, low, high)
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(ok, F.lit(True))).select(
-        *measured.columns, "kept"
-    )
+        ok = ok & _band(name, level if name == "token_entropy" else F.col(name), width, low, high)
+    return joined.withColumn("kept", ~F.col("base_failed") & ok).select(*measured.columns, "kept")
 
 
 def fertility_rules(docs: DataFrame, tokenizers: str = TOKENIZERS, width: float = WIDTH) -> DataFrame:

@@ -209,6 +209,24 @@ def test_fertility_bands_count_copies_once(spark):
     assert kept == len(rows)
 
 
+def test_fertility_bands_for_every_group(spark):
+    """Entropy falls by 0.01 from one length class to the next; classes of 128, 181 and 16,384 words are 14, 15 and 28."""
+    rows = [measured(i, i, 4.0 + i / 1_000, 150, entropy=0.8 + i / 10_000) for i in range(40)]
+    rows += [measured(100 + i, 100 + i, 4.0 + i / 1_000, 200, entropy=0.79 + i / 10_000) for i in range(40)]
+    rows += [measured(200 + i, 200 + i, 2.0 + i / 1_000, 150 + i * 10, "fi", 0.8 - i / 1_000) for i in range(25)]
+    rows += [
+        measured(900, 900, 4.0, 17_000, entropy=0.66), measured(901, 901, 2.0, 17_000, entropy=0.66),
+        measured(902, 902, 4.0, 17_000, entropy=0.5), measured(903, 903, 4.0, 150, "fi", 0.8), measured(904, 904, 2.0, 150, "xx"),
+        measured(905, 905, 4.0, 150, "xx"), measured(906, 906, 4.0, 150, None, failed=True),
+    ]
+    out = {r.doc_id: r.kept for r in fertility.judged(spark.createDataFrame(rows, MEASURED)).collect()}
+    assert len(out) == len(rows) and all(type(k) is bool for k in out.values())
+    assert [i for i in range(900, 907) if out[i]] == [900, 905]
+    assert all(out[i] for i in range(200, 225))
+    few = fertility.judged(spark.createDataFrame(rows[:3] + rows[-7:-6], MEASURED)).collect()
+    assert all(r.kept for r in few)
+
+
 def test_masks_tolerate_two_replaced_words():
     for pair in itertools.combinations(range(14), 2):
         assert any(
