@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxlake.llm import decontaminate, fertility, mixing, passages, perspectives, prefix_join, pseudonyms, repeats, url_models, warc
+from taxlake.llm import (
+    decontaminate, fertility, fp_search, hard_negatives, line_blocks, mixing, passages, perspectives, prefix_join, pseudonyms,
+    repeats, url_models, warc,
+)
 from taxlake.llm.shared import only
 
 #: The key of the pseudonyms; whoever runs the job for real passes a secret one.
@@ -72,11 +75,24 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_blocks.extracted(_table(spark, sf_dir, "pages"))
+
+
+def op12_fp_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fp_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_threshold_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc_derivatives, op2_url_model_ratio, op3_spaced_seed_decontamination, op4_run_length_repeats, op5_grouped_prefix_join, op6_pfair_mixing, op7_tokeniser_fertility,
-        op8_perspective_rotation, op9_attention_quality, op10_feistel_pseudonyms,
+        op8_perspective_rotation, op9_attention_quality, op10_feistel_pseudonyms, op11_line_block_text, op12_fp_tree_search,
+        op13_threshold_hard_negatives,
     )
 }
 
@@ -102,5 +118,50 @@ WITH turns AS (
 SELECT conv_id, perspective, chunk, part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY place) AS text,
   coalesce(string_agg(CASE WHEN train THEN CAST(upto - length(body) AS BIGINT)::VARCHAR || '-' || CAST(upto AS BIGINT)::VARCHAR END, ',' ORDER BY place), '') AS mask
 FROM summed GROUP BY conv_id, perspective, chunk, part
+""",
+    "op12_fp_tree_search": r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL
+), sizes AS (SELECT row, doc_id, len(terms) AS n, terms FROM texts WHERE len(terms) > 0
+), totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sizes
+), wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL
+), counts AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM sizes) WHERE term IN (SELECT term FROM wanted) GROUP BY row, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM counts, totals GROUP BY term, docs
+), lengths AS (SELECT row, doc_id, 50 + (50 * n * docs) // words AS m FROM sizes, totals
+), scores AS (
+  SELECT item_id, doc_id, row, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM wanted JOIN counts USING (term) JOIN weights USING (term) JOIN lengths USING (row) GROUP BY item_id, doc_id, row
+), ranks AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, row) AS INTEGER) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= 50
+""",
+    "op13_threshold_hard_negatives": """
+WITH whole AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), near AS (
+  SELECT a.id AS anchor_id, b.id AS positive_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS positive_score
+  FROM whole a JOIN whole b ON a.label = b.label AND a.id <> b.id WHERE a.id % 100 = 0
+  QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY positive_score DESC, b.id) <= 5
+), far AS (
+  SELECT a.id AS anchor_id, b.id AS negative_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS negative_score
+  FROM whole a JOIN whole b ON a.label <> b.label WHERE a.id % 100 = 0
+)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS INTEGER) AS rank,
+  negative_id, positive_score, negative_score
+FROM near JOIN far USING (anchor_id)
+WHERE 30 * positive_score <= 100 * negative_score AND 100 * negative_score <= 90 * positive_score
+QUALIFY rank <= 10
 """,
 }
