@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taxlake.llm.markup import CLOSE, OPEN, TEXT, Scan
 from taxlake.llm.shared import only
 
 #: Lines of a window, characters that make a surge, and the share of it below which text has dived.
@@ -31,8 +32,6 @@ WINDOW, SURGE, DIVE = 3, 86, 0.25
 #: Least share of a page's text that an article element must hold to be believed.
 BELIEVED = 0.1
 
-#: Elements whose content is no text at all; the scan jumps to their end.
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 #: Elements that are no part of an article.
 OUTSIDE = frozenset(
     "head nav footer aside form header menu dialog select button svg math object canvas audio video map datalist fieldset".split()
@@ -69,7 +68,6 @@ TURNED = frozenset("with has no without".split())
 #: Pairs of words that name an article where no element does.
 BODIES = (("article", "body"), ("article", "content"), ("article", "text"), ("post", "content"), ("post", "body"), ("entry", "content"), ("story", "body"))
 
-_TAG = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _NAMES = re.compile(r"""(?i)(?:^|[\s"'/])(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _ROLE_MAIN = re.compile(r"""(?i)(?:^|[\s"'/])role\s*=\s*["']?main\b""")
 _HIDDEN = re.compile(
@@ -117,14 +115,15 @@ class Line:
 
 
 class _Scan:
-    """One forward scan over a page. What is sought in vain once isn't sought again: the scan stays linear."""
+    """The lines of a page, from one scan over its markup that keeps the open elements."""
 
     def __init__(self, page: str):
-        self.page, self.lines = page, []
+        self.markup, self.lines = Scan(page), []
         self.open: list[_Element] = []
         self.counts: dict[str, int] = {}
-        self.missing: set[str] = set()
-        self.outside = self.states = self.container = self.containers = 0
+        self.seeks_article = True
+        self.outside = self.firm = self.container = self.containers = 0
+        self.within = {MAIN: 0, ARTICLE: 0, BODY: 0}  # open elements that state the article
         self.link_depth: int | None = None
         self.title = False
         self.parts: list[str] = []
@@ -132,6 +131,10 @@ class _Scan:
         self._run()
         self._end_line()
 
+    @property
+    def states(self) -> int:
+        return sum(bit for bit, n in self.within.items() if n)
+
     # lines
 
     def _text(self, raw: str) -> None:
@@ -157,41 +160,6 @@ class _Scan:
         if self.lines and not self.lines[-1].blank:
             self.lines.append(Line())
 
-    # places
-
-    def _find(self, what: str, at: int) -> int:
-        if what in self.missing:
-            return -1
-        found = self.page.find(what, at)
-        if found < 0:
-            self.missing.add(what)
-        return found
-
-    def _after(self, at: int) -> int:
-        end = self._find(">", at)
-        return len(self.page) if end < 0 else end + 1
-
-    def _tag_end(self, at: int) -> int:
-        """Place of the ``>`` that ends a tag; those in closed quotes don't. -1 where there is none."""
-        page, end, start = self.page, self._find(">", at), at
-        while end >= 0:
-            opened = None
-            while opened is None:
-                quotes = [q for q in (page.find('"', start, end), page.find("'", start, end)) if q >= 0]
-                if not quotes:
-                    return end
-                closed = page.find(page[min(quotes)], min(quotes) + 1, end)
-                if closed < 0:
-                    opened = page[min(quotes)]
-                else:
-                    start = closed + 1
-            closed = self._find(opened, end)
-            if closed < 0:
-                return end
-            start = closed + 1
-            end = self._find(">", start)
-        return -1
-
     # elements
 
     def _close(self, upto: int) -> None:
@@ -201,11 +169,10 @@ class _Scan:
             self.counts[e.name] -= 1
             self.container = e.container
             if e.states:
-                self.states = 0
-                for o in self.open if len(self.open) < 64 else self.open[-64:]:
-                    self.states |= o.states
+                self.within[e.states] -= 1
             if e.outside:
                 self.outside -= 1
+                self.firm -= e.firm
                 if not self.outside:
                     self._blank()
             if self.link_depth is not None and len(self.open) < self.link_depth:
@@ -229,7 +196,7 @@ class _Scan:
         if name[0] == "h":
             self.title = False
 
-    def _opened(self, name: str, attributes: str, at: int) -> None:
+    def _opened(self, name: str, attributes: str) -> None:
         if self.open and self.open[-1].name == "head" and name not in HEAD or name == "body":
             if self.counts.get("head"):
                 self._close(self._last("head"))
@@ -246,7 +213,7 @@ class _Scan:
         if name == "hr":
             return
         named = _named(attributes) if "=" in attributes else frozenset()
-        outside, firm = self._is_outside(name, attributes, named, block, at)
+        outside, firm = self._is_outside(name, attributes, named, block)
         if not block and not outside:
             return
         states = 0
@@ -257,22 +224,26 @@ class _Scan:
                 states = ARTICLE
             elif any(a in named and b in named for a, b in BODIES):
                 states = BODY
-        if states in (MAIN, ARTICLE) and self.outside and not any(e.firm for e in self.open if e.outside):
-            for e in self.open:
-                e.outside = False
-            self.outside = 0
+        if states in (MAIN, ARTICLE) and self.outside and not self.firm:
+            at = len(self.open)
+            while self.outside:
+                at -= 1
+                self.outside -= self.open[at].outside
+                self.open[at].outside = False
         if outside:
             if not self.outside:
                 self._blank()
             self.outside += 1
+            self.firm += firm
         self.open.append(_Element(name, outside, firm, states, self.container))
         self.counts[name] = self.counts.get(name, 0) + 1
-        self.states |= states
+        if states:
+            self.within[states] += 1
         if block and name not in TEXT_BLOCKS:
             self.containers += 1
             self.container = self.containers
 
-    def _is_outside(self, name: str, attributes: str, named: frozenset[str], block: bool, at: int) -> tuple[bool, bool]:
+    def _is_outside(self, name: str, attributes: str, named: frozenset[str], block: bool) -> tuple[bool, bool]:
         """(outside the article, even around an article element)."""
         if name in ("html", "body"):
             return False, False
@@ -285,7 +256,7 @@ class _Scan:
         if name in OUTSIDE:
             if name == "header" and self.states:
                 return False, False  # the head of the article, with its title
-            if name == "form" and self._holds_article(at):
+            if name == "form" and self._holds_article():
                 return False, False
             return True, name not in WRAPPERS
         if named & NAMED and (block or name == "span"):
@@ -293,50 +264,23 @@ class _Scan:
             return not own, bool(named & NOT_ARTICLE)
         return False, False
 
-    def _holds_article(self, at: int) -> bool:
-        end = self._find("</form", at)
-        found = _HOLDS_ARTICLE.search(self.page, at, len(self.page) if end < 0 else end) if "article" not in self.missing else None
-        if not found and end < 0:
-            self.missing.add("article")
+    def _holds_article(self) -> bool:
+        """Whether a heading or an article follows before the end of the form; sought in vain to the page's end only once."""
+        at, end = self.markup.at, self.markup.find("</form", self.markup.at)
+        if not self.seeks_article:
+            return False
+        found = _HOLDS_ARTICLE.search(self.markup.page, at, len(self.markup.page) if end < 0 else end)
+        self.seeks_article = found is not None or end >= 0
         return found is not None
 
     def _run(self) -> None:
-        page, at = self.page, 0
-        while at < len(page):
-            mark = self._find("<", at)
-            if mark < 0:
-                return self._text(page[at:])
-            self._text(page[at:mark])
-            tag = _TAG.match(page, mark)
-            if page.startswith("<!--", mark):
-                end = self._find("-->", mark + 2)
-                at = self._after(mark) if end < 0 else end + 3
-            elif page.startswith(("<!", "<?"), mark):
-                at = self._after(mark)
-            elif not tag:
-                self._text("<")
-                at = mark + 1
-            else:
-                end = self._tag_end(tag.end())
-                if end < 0:
-                    return None
-                name, at = tag[1].lower(), end + 1
-                if page[mark + 1] == "/":
-                    self._ended(name)
-                elif name not in RAW:
-                    self._opened(name, page[tag.end() : end], at)
-                else:
-                    at = self._past_raw(name, at)
-        return None
-
-    def _past_raw(self, name: str, at: int) -> int:
-        if name in self.missing:
-            return at
-        stop = re.compile(f"</{name}", re.I).search(self.page, at)
-        if stop:
-            return self._after(stop.end())
-        self.missing.add(name)
-        return len(self.page) if name in ("script", "style") else at
+        for kind, name, rest in self.markup:
+            if kind == TEXT:
+                self._text(rest)
+            elif kind == OPEN:
+                self._opened(name, rest)
+            elif kind == CLOSE:
+                self._ended(name)
 
 
 def lines_of(page: str) -> list[Line]:
