@@ -14,6 +14,9 @@ from taxlake.llm.shared import only
 #: The key of the pseudonyms; whoever runs the job for real passes a secret one.
 PSEUDONYM_KEY = "taxlake-public-key"
 
+#: A rendering of more turns than these comes in pieces, so that no row of the result grows without bound.
+MOST_TURNS = 4_096
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,8 +58,8 @@ def op7_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rendered dialogues; the mask as text, ``start-end`` joined by commas."""
-    seen = perspectives.rotated(_table(spark, sf_dir, "conversations"))
+    """The rendered dialogues, in pieces of at most 4,096 turns; the mask as text, ``start-end`` joined by commas."""
+    seen = perspectives.rotated(_table(spark, sf_dir, "conversations"), most_turns=MOST_TURNS)
     return seen.withColumn(
         "mask",
         F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ","),
@@ -99,25 +102,24 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op8_perspective_rotation": """
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text, coalesce(turn // 256, 0) AS chunk
-  FROM conversations
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id, chunk ORDER BY turn NULLS FIRST, speaker, text) - 1 AS place FROM turns
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, text) - 1 AS place FROM turns
 ), people AS (
   SELECT DISTINCT conv_id AS of_id, speaker AS perspective FROM turns WHERE speaker <> 'system'
 ), shown AS (
-  SELECT p.conv_id, q.perspective, p.chunk, p.place // 256 AS part, p.place,
+  SELECT p.conv_id, q.perspective, p.place,
     CASE WHEN p.speaker = 'system' THEN '<|system|>' || chr(10)
          WHEN p.speaker = q.perspective THEN '<|assistant|>' || chr(10)
          ELSE '<|user|>' || chr(10) || p.speaker || ': ' END AS head,
     p.text || '<|end|>' || chr(10) AS body, p.speaker = q.perspective AS train
   FROM placed p JOIN people q ON p.conv_id IS NOT DISTINCT FROM q.of_id
 ), summed AS (
-  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, chunk, part ORDER BY place) AS upto FROM shown
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective ORDER BY place) AS upto FROM shown
 )
-SELECT conv_id, perspective, chunk, part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY place) AS text,
+SELECT conv_id, perspective, CAST(0 AS BIGINT) AS piece, count(*) AS n_turns, string_agg(head || body, '' ORDER BY place) AS text,
   coalesce(string_agg(CASE WHEN train THEN CAST(upto - length(body) AS BIGINT)::VARCHAR || '-' || CAST(upto AS BIGINT)::VARCHAR END, ',' ORDER BY place), '') AS mask
-FROM summed GROUP BY conv_id, perspective, chunk, part
+FROM summed GROUP BY conv_id, perspective
 """,
     "op12_fp_tree_search": r"""
 WITH texts AS (
