@@ -47,7 +47,7 @@ IBAN_LENGTHS = {
 }
 
 #: Candidate values of each kind. Fixed values.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IBAN_OF_COUNTRY = r"(?<![A-Za-z0-9])(?:" + "|".join(
     rf"(?:{lands.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
     for n, lands in IBAN_LENGTHS.items()
@@ -110,14 +110,15 @@ def feistel_text(value: Column, key: str, tweak: Column) -> Column:
 
     def step(s: Column, i: Column) -> Column:
         odd = i % 2 == 1
-        noise = _digest(key, tweak, i, F.when(odd, s["l"]).otherwise(s["h"]))
         target = F.when(odd, s["h"]).otherwise(s["l"])
-        new = F.array_join(
-            F.transform(F.split(target, ""), lambda c, j: moved(c, _number(noise, (j % 15) * 4 + 1, 4))), ""
-        )
-        return F.struct(
-            F.when(odd, new).otherwise(s["h"]).alias("h"), F.when(odd, s["l"]).otherwise(new).alias("l")
-        )
+
+        def by(noise: Column) -> Column:
+            new = F.array_join(F.transform(F.split(target, ""), lambda c, j: moved(c, _number(noise, (j % 15) * 4 + 1, 4))), "")
+            return F.struct(
+                F.when(odd, new).otherwise(s["h"]).alias("h"), F.when(odd, s["l"]).otherwise(new).alias("l")
+            )
+
+        return _let(_digest(key, tweak, i, F.when(odd, s["l"]).otherwise(s["h"])), by)
 
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.concat(s["h"], s["l"])
@@ -126,16 +127,7 @@ def feistel_text(value: Column, key: str, tweak: Column) -> Column:
 
 def _filled(form: Column, signs: Column) -> Column:
     """``form`` with its letters and digits replaced, in order, by ``signs``."""
-    return F.array_join(
-        F.transform(
-            F.split(form, ""),
-            lambda c, j: F.when(
-                c.rlike("[A-Za-z0-9]"),
-                F.substr(signs, F.length(F.regexp_replace(F.substr(form, F.lit(1), j + 1), "[^A-Za-z0-9]", "")), F.lit(1)),
-            ).otherwise(c),
-        ),
-        "",
-    )
+    return _woven(F.split(form, "[A-Za-z0-9]", -1), F.split(signs, ""))
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -401,11 +393,12 @@ def _marked(text: Column, pattern: str, mark: str, pieces: Callable[[Column], Co
 def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in the column ``text``; ``count`` names a column for their number."""
     source = F.col(f"`{text}`")
+    state = "state" + "_" * max(len(c) for c in docs.columns)  # longer than any name of the input
     steps = [(f"[{MARKS[0]}-{MARKS[-1]}]", lambda v: _pieces(v, v))]
     steps += [(pattern, partial(make, key=key)) for pattern, make in KINDS]
     kept = [F.col(f"`{c}`") for c in docs.columns]
     # one select a step: nested in one expression, the steps are too deep for the analyser
-    work = docs.select(*kept, F.struct(source.alias("text"), F.array().cast("array<array<string>>").alias("new")).alias("__state"))
+    work = docs.select(*kept, F.struct(source.alias("text"), F.array().cast("array<array<string>>").alias("new")).alias(state))
 
     def marked(pattern: str, mark: str, pieces: Callable[[Column], Column]) -> Column:
         def added(s: Column) -> Column:
@@ -414,7 +407,7 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | No
                 lambda m: F.struct(m["text"].alias("text"), F.concat(s["new"], F.array(m["new"])).alias("new")),
             )
 
-        return _let(F.col("__state"), added)
+        return _let(F.col(state), added)
 
     def unmarked(s: Column) -> Column:
         def shown(out: Column, at: Column) -> Column:
@@ -425,10 +418,10 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | No
         return F.struct(F.aggregate(F.sequence(F.lit(len(steps) - 1), F.lit(0), F.lit(-1)), s["text"], shown).alias("text"), s["new"].alias("new"))
 
     for mark, (pattern, pieces) in zip(MARKS, steps):
-        work = work.select(*kept, marked(pattern, mark, pieces).alias("__state"))
-    work = work.select(*kept, _let(F.col("__state"), unmarked).alias("__state"))
-    columns = [F.col("__state.text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
+        work = work.select(*kept, marked(pattern, mark, pieces).alias(state))
+    work = work.select(*kept, _let(F.col(state), unmarked).alias(state))
+    columns = [F.col(state)["text"].alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if count:
-        values = F.aggregate(F.slice("__state.new", 2, len(steps)), F.lit(0), lambda n, new: n + F.size(new))
+        values = F.aggregate(F.slice(F.col(state)["new"], 2, len(steps)), F.lit(0), lambda n, new: n + F.size(new))
         columns.append(values.cast("long").alias(count))
     return work.select(*columns)
