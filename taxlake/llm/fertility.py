@@ -283,6 +283,12 @@ def fertility_rules(docs: DataFrame, tokenizers: str = TOKENIZERS, width: float
 
 
 def passing_rows(docs: DataFrame, tokenizers: str = TOKENIZERS, width: float = WIDTH) -> DataFrame:
-    """The rows of ``docs`` that the rules keep. Rows without a doc_id can't be told apart and stay."""
-    gone = fertility_rules(docs, tokenizers, width).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that the rules keep; each row is judged by its own text and language."""
+    rejected = judged(stored(measures(docs, tokenizers)), width).where("not kept")
+    gone = rejected.select(*(F.col(c).alias(f"gone_{c}") for c in ("doc_id", "text_hash", "lang"))).distinct().alias("gone")
+    same = (
+        F.col("docs.doc_id").cast("long").eqNullSafe(F.col("gone.gone_doc_id"))
+        & (F.xxhash64(F.col("docs.text")) == F.col("gone.gone_text_hash"))
+        & F.col("docs.lang").eqNullSafe(F.col("gone.gone_lang"))
+    )
+    return docs.alias("docs").join(gone, same, "left_anti")

@@ -256,8 +256,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     open_pairs = open_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(
         pairs, ["a", "b"], "left_anti"
     )
-    all_links = stored(links.union(_verified(open_pairs.distinct(), sets, percent)))
-    final = components(all_links).select(F.col("id").alias("node"), "component")
+    # the first components stand for their links, so that only the new ones are left to follow
+    late = stored(_verified(open_pairs.distinct(), sets, percent))
+    joined = first if late.isEmpty() else components(
+        first.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(late)
+    )
+    final = joined.select(F.col("id").alias("node"), "component")
     placed_nodes = nodes.select("one", "two", "n", F.col("doc_id").alias("node")).join(final, "node", "left")
     result = sketch.join(placed_nodes, ["one", "two", "n"], "left").select(
         "doc_id",
@@ -268,15 +272,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def one_per_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component: one document of each group stays.
+    """One row of each group of near duplicates, and every row that is near to no other.
 
-    Rows without a doc_id stay as they are; of rows that repeat a doc_id one stays.
+    Each row is compared by its own text: rows without a doc_id, or with one that another row has too, get an id of
+    their own for the comparison, above all others, so that the row with the smallest doc_id of a group stays.
     """
-    gone = (
-        near_duplicates(docs, k, percent)
-        .where("doc_id is not null and component_id <> doc_id")
-        .select("doc_id")
-        .distinct()
-    )
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    clash = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id")
+    clash = stored(clash.select(F.col("doc_id").alias("clash_id"))).alias("clash")
+    top = docs.agg(F.coalesce(F.max(F.col("doc_id").cast("long")), F.lit(0)).alias("top_id")).first().top_id
+    same = F.col("docs.doc_id").eqNullSafe(F.col("clash.clash_id"))
+    plain = docs.alias("docs").join(clash, same, "left_anti").withColumn("row_id__", F.col("doc_id").cast("long"))
+    odd = docs.alias("docs").join(clash, same, "left_semi")
+    odd = stored(odd.withColumn("row_id__", F.monotonically_increasing_id() + F.lit(top + 1)))
+    rows = plain.unionByName(odd)
+    judged = near_duplicates(rows.select(F.col("row_id__").alias("doc_id"), "text"), k, percent)
+    gone = judged.where("component_id <> doc_id").select(F.col("doc_id").alias("row_id__"))
+    return rows.join(gone, "row_id__", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -174,6 +174,7 @@ def components(edges: DataFrame) -> DataFrame:
     links = stored(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     )
+    seen = None
     while True:
         # large star: every neighbour above u points to the least of u's neighbourhood
         both = links.union(links.select("v", "u"))
@@ -188,13 +189,12 @@ def components(edges: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        following = stored(small)
-        changed = following.join(links, ["u", "v"], "left_anti").limit(1).count() + links.join(
-            following, ["u", "v"], "left_anti"
-        ).limit(1).count()
-        links = following
-        if not changed:
+        links = stored(small)
+        # links are distinct: they are the same as before if their number and the sum of their hashes are
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if now == seen:
             break
+        seen = now
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import itertools
 import math
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -324,6 +326,19 @@ def test_pseudonyms_keep_format_and_links(spark, docs, empty):
     assert pseudonyms.pseudonymised(docs, "key").columns == docs.columns
 
 
+def test_pseudonyms_of_very_long_values(spark, docs):
+    """Whatever a pattern can repeat, tens of thousands of times: no pattern may recurse, nor take quadratic time."""
+    n = 40_000
+    units = ["a@" + "b." * n + "org", "x@y" + ".z" * n, "a." * n + "@b.de", "1" * n, "1 " * n, "1-" * n, "DE12 " + "3456 " * n, "+1" * n, "+49 " + "1 " * n,
+             "(123) 456-7890 " * (n // 15), "1.2.3.4." * (n // 8), "123-45-6789-" * (n // 12), "2024-01-05T" * (n // 11), "@" * n, "\ue001" * n, "a@b.c " * (n // 6)]
+    df = spark.createDataFrame(list(enumerate(units)), "doc_id long, text string")
+    rows = {r.doc_id: r.text for r in pseudonyms.pseudonymised(df, "key").collect()}
+    assert {i: len(t) for i, t in rows.items()} == {i: len(t) for i, t in enumerate(units)}
+    assert rows[0] != units[0] and rows[0].endswith("b." * 9 + "org") and rows[1][1:] == units[1][1:]
+    odd = df.limit(1).withColumn("__state", F.lit(1)).withColumn("state", F.lit(2))
+    assert pseudonyms.pseudonymised(odd, "key").columns == odd.columns
+
+
 def test_pseudonyms_of_all_numbers_with_one(spark):
     forms = [
         "+1 (017) 555-7713", "+1 (171) 555-2028", "+1 017-555-7713", "+10175557713", "(017) 555-7713", "1 (555) 123-4567",
@@ -372,27 +387,82 @@ def test_feistel_is_a_permutation(spark):
     assert sorted(r.s for r in strings.collect()) == [f"{i:02d}" for i in range(100)]
 
 
-def test_mixing_deviates_less_than_a_block(spark, docs, empty):
-    sizes = {"a": 900, "b": 60, "c": 210, None: 30}
+@pytest.mark.parametrize(
+    "sizes,weights,block,stretch",
+    [
+        ({"a": 903, "b": 65, "c": 210, None: 31}, {"a": 0.5, "b": 0.2, "c": 0.2}, 10, 16),
+        ({"a": 2600, "b": 65}, {"a": 0.5, "b": 0.5}, 64, 1024),
+        ({"a": 700, "b": 1, "c": 650, "d": 3}, {"a": 1 / 3, "b": 1 / 7, "c": 0.5, "d": 0.01}, 7, 8),
+        ({f"s{i:02}": 400 if i == 0 else 40 + i for i in range(20)}, None, 8, 32),
+    ],
+)
+def test_mixing_deviates_less_than_a_block(spark, sizes, weights, block, stretch):
     rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
-    df = spark.createDataFrame(rows, "doc_id long, source string")
-    weights = {"a": 0.5, "b": 0.2, "c": 0.2}
-    out = mixing.mixed(df, weights, block_rows=10, period=50).collect()
-    assert {r.doc_id for r in out} == {i for i, _ in rows}
-    slots = defaultdict(set)
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
+    out = mixing.mixed(df, weights, block_rows=block, stretch=stretch).collect()
+    least = min(weights.values()) if weights else None
+    target = {s: weights.get(s, least) if weights else n**mixing.TEMPERATURE for s, n in sizes.items()}
+    target = {s: w / sum(target.values()) for s, w in target.items()}
+    slots = defaultdict(list)
     for r in out:
-        slots[r.slot].add(r.source)
-    assert sorted(slots) == list(range(len(slots))) and all(len(s) == 1 for s in slots.values())
-    share = {r.source: r.share / 50 for r in mixing.shares(df.groupBy("source").agg(F.count("*").alias("rows")), weights, 50).collect()}
-    assert abs(sum(share.values()) - 1) < 1e-9
-    had = defaultdict(int)
+        slots[r.slot].append(r)
+    assert sorted(slots) == list(range(len(slots)))
+    had, seen = defaultdict(int), defaultdict(list)
     for t in range(len(slots)):
-        had[next(iter(slots[t]))] += 1
-        assert all(abs(had[s] - w * (t + 1)) < 1 for s, w in share.items())
+        # every slot is one full block of one source, and no source is ever a block off its target
+        own = {r.source for r in slots[t]}
+        assert len(own) == 1 and sorted(r.place for r in slots[t]) == list(range(block))
+        had[own.pop()] += 1
+        assert all(abs(had[s] - w * (t + 1)) < 1 + 1e-6 for s, w in target.items())
+        for r in sorted(slots[t], key=lambda r: r.place):
+            seen[r.source].append((r.epoch, r.doc_id))
+    for s, n in sizes.items():
+        # rounds without gaps: each shows all rows before the next begins
+        ids = {i for i, of in rows if of == s}
+        assert len(seen[s]) >= n
+        for e in range(len(seen[s]) // n):
+            part = seen[s][e * n : (e + 1) * n]
+            assert {i for _, i in part} == ids and {x for x, _ in part} == {e}
+    # the mix is no longer than it must be
+    assert any(len(seen[s]) - block < -(-n // block) * block for s, n in sizes.items())
+
+
+def test_mixing_many_sources_and_long_mixes(spark):
+    plan = spark.range(1500).select(
+        F.concat(F.lit("s"), F.col("id").cast("string")).alias("name"), (F.col("id") + 1).alias("weight"), F.lit(1500 * 1501 // 2).cast("long").alias("total")
+    )
+    length = spark.createDataFrame([(3000,)], "length long")
+    had = defaultdict(int)
+    for t, r in enumerate(mixing.schedule(mixing.stretches(plan, length)).orderBy("slot").collect()):
+        assert (r.slot, r.block) == (t, had[r.name])
+        had[r.name] += 1
+        if t % 100 == 0 or t > 2990:
+            assert all(abs(had[f"s{i}"] - (i + 1) * (t + 1) / 1_125_750) < 1 for i in range(1500))
+    # far into a mix of 10^15 slots the windows still hold
+    weights = [333_333_333, 1_000_000_000, 7, 1]
+    plan = spark.createDataFrame([(f"s{i}", w, sum(weights)) for i, w in enumerate(weights)], "name string, weight long, total long")
+    far = 10**15
+    ends = mixing.stretches(plan, spark.createDataFrame([(far + 5000,)], "length long"), stretch=far // 4 * 4).collect()
+    late = spark.createDataFrame([r for r in ends if r["at"] == far], mixing.stretches(plan, spark.createDataFrame([(far + 5000,)], "length long"), far).schema)
+    total = sum(weights)
+    for r in mixing.schedule(late).collect():
+        w = weights[int(r.name[1:])]
+        assert r.block * total // w <= r.slot < -(-(r.block + 1) * total // w)
+
+
+def test_mixing_odd_rows(spark, docs, empty):
     assert mixing.mixed(docs).select("doc_id", "text").distinct().count() == len({(r[0], r[1]) for r in odd_rows()})
     assert mixing.mixed(empty).count() == 0
+    clashing = docs.withColumns({c: F.lit(1) for c in ("rows", "share", "offset", "name", "weight", "bucket", "number", "at", "block", "c0")})
+    assert mixing.mixed(clashing).columns == [*clashing.columns, "slot", "place", "epoch"]
     with pytest.raises(ValueError):
-        mixing.mixed(df.withColumn("slot", F.lit(1)))
+        mixing.mixed(docs.withColumn("Slot", F.lit(1)))
+    few = spark.createDataFrame([(i, "a" if i < 3 else "b") for i in range(200)], "doc_id long, source string")
+    out = mixing.mixed(few, {"a": 0.5, "b": 0.5}, block_rows=2, max_epochs=4).collect()
+    assert max(r.epoch for r in out if r.source == "a") == 3 and len(out) == 24
+    # one row for many rounds
+    tiny = mixing.mixed(few.where("doc_id = 0 or doc_id > 10"), {"a": 0.99, "b": 0.01}, block_rows=3, stretch=256)
+    assert tiny.where("source = 'a'").count() == tiny.where("source = 'a'").select("epoch").distinct().count() > 15_000
 
 
 def split_by_hand(url):
@@ -452,19 +522,39 @@ def test_perspectives(spark):
         (1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", "Hello ü"), (1, 2, "bob", "Hello ü"), (1, 3, "ann", None),
         (2, 0, None, "x"), (3, 0, "system", "alone"), (None, None, "bob", "lost"), (4, 300, "ann", "late"), (4, 0, "ann", "first"),
     ]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("chunk", F.lit("x"))
-    out = {(r.conv_id, r.perspective, r.chunk): r for r in perspectives.rotated(df).collect()}
-    assert set(out) == {(1, "ann", 0), (1, "bob", 0), (2, "unknown", 0), (None, "bob", 0), (4, "ann", 0), (4, "ann", 1)}
-    bob = out[1, "bob", 0]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit("x"))
+    out = {(r.conv_id, r.perspective): r for r in perspectives.rotated(df).collect()}
+    assert set(out) == {(1, "ann"), (1, "bob"), (2, "unknown"), (None, "bob"), (4, "ann")}
+    bob = out[1, "bob"]
     assert bob.text == (
         "<|system|>\nBe kind.<|end|>\n<|user|>\nann: Hi<|end|>\n<|assistant|>\nHello ü<|end|>\n<|assistant|>\nHello ü<|end|>\n<|user|>\nann: <|end|>\n"
     )
     assert [bob.text[m.start : m.end] for m in bob.mask] == ["Hello ü<|end|>\n"] * 2
-    ann = out[1, "ann", 0]
+    ann = out[1, "ann"]
     assert [ann.text[m.start : m.end] for m in ann.mask] == ["Hi<|end|>\n", "<|end|>\n"]
+    assert out[4, "ann"].text == "<|assistant|>\nfirst<|end|>\n<|assistant|>\nlate<|end|>\n"
     assert perspectives.rotated(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [None, 7])
+def test_perspectives_by_rank(spark, most):
+    rng = random.Random(4)
+    numbers = [None, None, 0, 1000, 2000, 2000, *range(5_000, 5_300), 10**12]
+    rows = [(c, n, rng.choice(("ann", "bob", "system", "eve" if i > 290 else "bob")), f"t{i % 40}") for c in (1, 2) for i, n in enumerate(numbers)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {(r.conv_id, r.perspective, r.piece): (r.n_turns, r.text, [r.text[m.start : m.end] for m in r.mask]) for r in perspectives.rotated(df, most_turns=most).collect()}
+    expected = {}
+    for c in (1, 2):
+        turns = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+        for start in range(0, len(turns), most or len(turns)):
+            piece = turns[start : start + (most or len(turns))]
+            for who in {r[2] for r in piece} - {"system"}:
+                heads = ["<|system|>\n" if r[2] == "system" else "<|assistant|>\n" if r[2] == who else f"<|user|>\n{r[2]}: " for r in piece]
+                text = "".join(h + r[3] + "<|end|>\n" for h, r in zip(heads, piece))
+                expected[c, who, start // (most or len(turns))] = (len(piece), text, [r[3] + "<|end|>\n" for r in piece if r[2] == who])
+    assert got == expected
+
+
 def test_warc_derivatives_round_trip(spark, tmp_path):
     page = '<html><head><title>T &amp; t</title><script>x("</p>")</script></head><body><p>One<br>two &lt;3</p><!-- no --><a href="/x?a=1&amp;b=2">go</a></body></html>'
     rows = [(1, "http://a.org/", page), (2, None, None), (3, "http://b.org/", ""), (None, "http://c.org/", "<p>é</p>"), (1, "http://a.org/", page)]
@@ -498,6 +588,54 @@ def test_warc_derivatives_round_trip(spark, tmp_path):
     assert warc.derived(warc.responses(df.limit(0))).count() == 0
 
 
+def test_warc_ids_beside_nulls(spark):
+    rows = [(9007199254740993, "a", "x"), (None, "b", "y"), (9007199254740992, "c", "z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    assert {r.page_id for r in warc.responses(df).collect()} == {r.page_id for r in warc.derived(warc.responses(df)).collect()} == {r[0] for r in rows}
+
+
+@pytest.mark.parametrize("unit", ["<!--", "<script>", "<a ", '<a href="', "<title>", "<", "<p x='", "</p"])
+def test_warc_page_text_takes_one_scan(unit):
+    started = time.perf_counter()
+    warc.page_parts("begin" + unit * 100_000 + "end")
+    assert time.perf_counter() - started < 5
+
+
+def test_warc_foreign_records(spark, tmp_path):
+    def record(kind, block, *fields):
+        head = [f"WARC-Type: {kind}", *fields, f"Content-Length: {len(block)}"]
+        return b"WARC/1.0\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    page = "<html><title>Über\n uns</title><p>Gr\u00fc\u00dfe &amp; mehr<td>x<td>y<a class='l' href=/z>z</a>".encode()
+    http = b"HTTP/1.1 404 Not Found\r\nserver: nginx\r\nX-Long: one\r\n two\r\nSet-Cookie: a=b\r\n\r\n"
+    first = record("response", http + page, "WARC-Record-ID: <urn:uuid:1>", "WARC-Target-URI: http://a.org/\u00e4", "WARC-Date: 2024-01-02T03:04:05Z", "WARC-Payload-Digest: sha1:ABC")
+    bare = record("response", b"HTTP/1.0 200 OK\r\n\r\n" + bytes(range(256)), "warc-record-id: <urn:uuid:2>")
+    others = record("warcinfo", b"software: x\r\n") + record("request", b"GET / HTTP/1.1\r\n\r\n")
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "plain.warc").write_bytes(others + first + bare)
+    (folder / "members.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in (others, first, bare)))
+    (folder / "empty.warc").write_bytes(b"")
+    got = warc.read_responses(spark, str(folder)).collect()
+    assert sorted(r.record_id for r in got) == ["<urn:uuid:1>"] * 2 + ["<urn:uuid:2>"] * 2
+    one = next(r for r in got if r.record_id == "<urn:uuid:1>")
+    assert (one.target_uri, one.date, one.payload_digest, bytes(one.payload)) == ("http://a.org/ä", "2024-01-02T03:04:05Z", "sha1:ABC", page)
+    assert one.block_digest == warc.digest(http + page) and one.http_headers == http.decode()
+    two = next(r for r in got if r.record_id == "<urn:uuid:2>")
+    assert bytes(two.payload) == bytes(range(256)) and two.payload_digest == warc.digest(bytes(range(256)))
+    out = {(r.record_type, r.refers_to): r for r in warc.derived(warc.read_responses(spark, str(folder / "plain.warc"))).collect()}
+    assert out["conversion", "<urn:uuid:1>"].block == "Über\nuns\nGrüße & mehr x yz"
+    lines = out["metadata", "<urn:uuid:1>"].block.split("\r\n")
+    assert lines[:4] == ["http-status: HTTP/1.1 404 Not Found", "http-header: server: nginx", "http-header: X-Long: one two", "http-header: Set-Cookie: a=b"]
+    assert "title: Über uns" in lines and "outlink: /z" in lines and out["metadata", "<urn:uuid:1>"].payload_digest == "sha1:ABC"
+    # what is written can be read again, also compressed
+    for compression in ("none", "gzip"):
+        path = str(tmp_path / compression)
+        warc.write_records(warc.derived(spark.createDataFrame(got, warc.RESPONSES)), path, compression)
+        assert warc.read_responses(spark, path).count() == 0
+        assert spark.read.option("lineSep", "\r\n\r\nWARC/").text(path).count() == 8
+
+
 def test_attention_classifier(spark, docs, empty):
     rng = random.Random(8)
     rows, labels = [], []
