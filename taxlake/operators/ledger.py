@@ -124,6 +124,42 @@ def ledger_cube(documents: DataFrame, as_of: str | None = None) -> DataFrame:
     )
 
 
+#: Keys and sums of the cube. All sums are additive, so a stored cube is kept up to date by differences.
+CUBE_KEYS = (
+    "tenant_id", "direction", "vat_treatment_code", "payment_status", "base_bucket", "needs_review", "rate_missing",
+    "invoice_month", "payment_month", "invoice_after", "payment_after",
+)
+CUBE_SUMS = ("n", "net", "vat", "gross", "owed")
+#: Types of a stored cube.
+CUBE = (
+    "tenant_id int, direction string, vat_treatment_code string, payment_status string, base_bucket string, "
+    "needs_review boolean, rate_missing boolean, invoice_month date, payment_month date, invoice_after boolean, "
+    "payment_after boolean, n bigint, net decimal(28,2), vat decimal(28,2), gross decimal(28,2), owed decimal(28,2)"
+)
+
+
+def _as_stored(cube: DataFrame) -> DataFrame:
+    return cube.select(*[F.col(name).cast(kind).alias(name) for name, kind in (c.split(" ") for c in CUBE.split(", "))])
+
+
+def merged_cube(*parts: DataFrame) -> DataFrame:
+    """One cube from several, also from differences; keys without any document left are gone."""
+    rows = _as_stored(parts[0])
+    for part in parts[1:]:
+        rows = rows.unionByName(_as_stored(part))
+    sums = rows.groupBy(*CUBE_KEYS).agg(*[F.sum(c).alias(c) for c in CUBE_SUMS])
+    return _as_stored(sums.where(" or ".join(f"{c} <> 0" for c in CUBE_SUMS)))
+
+
+def cube_changes(old: DataFrame, new: DataFrame, as_of: str | None = None) -> DataFrame:
+    """What a change of documents adds to the cube: their old versions with a minus, the new ones with a plus.
+
+    Reads the changed documents only; merged into the cube of the old documents it gives that of the new ones.
+    """
+    gone = ledger_cube(old, as_of)
+    return merged_cube(gone.withColumns({c: -F.col(c) for c in CUBE_SUMS}), ledger_cube(new, as_of))
+
+
 # --- value added tax ------------------------------------------------------------------------
 
 VAT_LINES = (
@@ -236,6 +272,11 @@ def vat_contributions(documents: DataFrame, settings: DataFrame) -> DataFrame:
     ).select("tenant_id", "assigned_date", "bucket", "id", "l.line", "l.amount")
 
 
+def changed_contributions(stored: DataFrame, touched: DataFrame, contributed: DataFrame) -> DataFrame:
+    """Contributions after a change: those of the ``touched`` documents (id) give way to the ones ``contributed`` anew."""
+    return stored.join(touched.select("id"), "id", "left_anti").unionByName(contributed)
+
+
 # --- recognition based figures --------------------------------------------------------------
 
 def recognized_cube(cube: DataFrame, settings: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from taxlake.session import cut_lineage  # noqa: F401
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -42,20 +43,3 @@ def flat(df: DataFrame) -> DataFrame:
             c = F.array_join(c, "|")
         columns.append(c.alias(field.name))
     return df.select(*columns)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint a result that several branches read, in the cluster's shared folder.
-
-    The folder comes from ``spark.checkpoint.dir``. Only a local master may fall back to a
-    temporary folder of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="taxlake-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()

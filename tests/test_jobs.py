@@ -1,13 +1,16 @@
 """Sources, sinks, duplicates, streaming and state changes on small tables."""
 
 import datetime as dt
+import re
 from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
-from taxlake.operators import currency, duplicates, exports, extraction, quality
+from taxlake.functions import names
+from taxlake.operators import currency, duplicates, exports, extraction, ledger, quality
 from taxlake.plans import books
 from taxlake.sources import rate_files, tables
+from taxlake.sources.store import DocumentStore
 from taxlake.streaming import intake
 
 SF = "/root/testdata/sf0.001"
@@ -127,70 +130,164 @@ def _text_rows(spark):
     )
 
 
+def _dimensions():
+    settings = lambda s: s.createDataFrame([(i, "ist") for i in range(8)], "tenant_id int, vat_method string")
+    rates = lambda s: s.createDataFrame([], "currency string, rate_date date, rate_to_eur decimal(18,10), source string")
+    return settings, rates
+
+
 def test_intake_stream(spark, tmp_path):
-    source = str(tmp_path / "in")
+    source, path, check = (str(tmp_path / n) for n in ("in", "store", "ck"))
     texts = _text_rows(spark)
     texts.coalesce(1).write.parquet(source)
-    settings = lambda s: s.createDataFrame([(0, "ist")], "tenant_id int, vat_method string")
-    rates = lambda s: s.createDataFrame([], "currency string, rate_date date, rate_to_eur decimal(18,10), source string")
-    out = {n: str(tmp_path / n) for n in ("docs", "jobs", "audit", "ck")}
-    writer = intake.intake_writer(out["docs"], out["jobs"], out["audit"], settings, rates, "2026-03-01")
+    writer = intake.intake_writer(path, *_dimensions(), "2026-03-01")
     stream = lambda: spark.readStream.schema(texts.schema).parquet(source)
-    intake.start_intake(stream(), writer, out["ck"]).awaitTermination()
-    docs = spark.read.parquet(out["docs"])
+    intake.start_intake(stream(), writer, check).awaitTermination()
+    docs = DocumentStore(spark, path).current()
     assert docs.count() == 3 and {r.vat_treatment_code for r in docs.collect()} == {"DE_EXPENSE_INPUT_VAT"}
-    status = {r.status: r["count"] for r in spark.read.parquet(out["jobs"]).groupBy("status").count().collect()}
+    status = {r.status: r["count"] for r in spark.read.parquet(f"{path}/jobs").groupBy("status").count().collect()}
     assert status["duplicate"] == 2
     # the same texts again: everything meets the stored gate
     texts.withColumn("id", F.concat(F.lit("again"), "id")).coalesce(1).write.mode("append").parquet(source)
-    intake.start_intake(stream(), writer, out["ck"]).awaitTermination()
-    assert spark.read.parquet(out["docs"]).count() == 3
-    assert spark.read.parquet(out["audit"]).filter("event_type = 'import'").count() == 3
-
-
-def test_outcome_and_gate_streams(spark, tmp_path):
+    intake.start_intake(stream(), writer, check).awaitTermination()
+    assert DocumentStore(spark, path).current().count() == 3
+    assert spark.read.parquet(f"{path}/audit").filter("event_type = 'import'").count() == 3
+
+
+def _buckets_read(df):
+    """How many buckets the scan of ``df`` is pruned to, by the partition filters of its plan."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if "LocalRelation" in plan and "Relation [" not in plan:
+        return 0
+    listed = re.search(r"bucket#\d+ IN \(([^)]*)\)", plan)
+    if listed:
+        return listed[1].count(",") + 1
+    return 1 if re.search(r"bucket#\d+ = \d+", plan) else 64
+
+
+def test_intake_batches_read_touched_buckets(spark, tmp_path):
+    path = str(tmp_path / "store")
+    invoice = "Studio Muster GmbH\nRechnungsnummer: RE-{0}\nRechnungsdatum: 02.03.2026\nNettobetrag 100,00 EUR\nUmsatzsteuer 19 %: 19,00 EUR\nGesamtbetrag: {1} EUR\n{2}"
+    at = lambda n: dt.datetime(2026, 3, 2, 10, n)
+    schema = "id string, tenant_id int, import_id string, direction string, text string, own_name string, own_vat_id string, created_at timestamp, duplicate_action string"
+
+    def batch(*rows):
+        return spark.createDataFrame([(i, 1, "imp", "expense", t, None, None, at(n), action) for n, (i, t, action) in enumerate(rows)], schema)
+
+    batches = [
+        batch(("a", invoice.format(1, "119,00", ""), None), ("b", invoice.format(2, "119,00", ""), None), ("a2", invoice.format(1, "119,00", ""), None)),
+        batch(("c", invoice.format(1, "119,00", ""), None), ("d", invoice.format(1, "119,01", "scan"), None), ("e", None, None), ("f", " ", None)),
+        batch(("g", invoice.format(2, "119,00", ""), "import_anyway"), ("h", invoice.format(1, "119,03", "scan 2"), None)),
+    ]
+    write = intake.intake_writer(path, *_dimensions(), "2026-03-01")
+    for number, rows in enumerate(batches):
+        write(rows, number)
+    jobs = {r.file_id: (r.status, r.existing_id, r.possible_duplicate_id, r.error_key) for r in spark.read.parquet(f"{path}/jobs").collect()}
+    assert jobs["a2"][:2] == jobs["c"][:2] == ("duplicate", "a")
+    assert jobs["b"][2] == "a"  # the same counterparty, day and amount
+    assert jobs["d"][2] == "a" and jobs["g"][1] is None and jobs["h"][2] is None
+    assert jobs["e"][0::3] == ("failed", "corrupt_pdf") and jobs["f"][0::3] == ("failed", "empty_pdf")
+    store = DocumentStore(spark, path)
+    docs = {r.id: r for r in store.current().collect()}
+    assert set(docs) == {"a", "b", "d", "g", "h"}
+    issue = [i for i in docs["d"].issues if i.code == "possible_duplicate"]
+    assert issue[0].severity == "critical" and issue[0].params == {"id": "a", "filename": docs["a"].stored_filename}
+    assert docs["d"].stored_filename == docs["a"].stored_filename.replace(".pdf", "-2.pdf")
+    assert docs["h"].stored_filename == docs["a"].stored_filename.replace(".pdf", "-3.pdf")
+    assert spark.read.parquet(f"{path}/audit").where("event_type = 'possible_duplicate_detected'").count() == 3
+    # a batch reads the buckets of its own keys only, and a batch that runs again changes nothing
+    wanted = store.keys(spark.createDataFrame([("content", "1|x")], "kind string, key string"))
+    assert _buckets_read(wanted) == 1
+    before = sorted(map(str, store.versions().collect()))
+    write(batches[2], 2)
+    assert sorted(map(str, store.versions().collect())) == before and [r.commit for r in store.log()] == [0, 1, 2]
+
+
+def test_outcome_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     texts = _text_rows(spark)
     texts.coalesce(1).write.parquet(source)
-    stream = spark.readStream.schema(texts.schema).parquet(source)
-    gated = intake.gate_stream(stream).writeStream.format("memory").queryName("gated").outputMode("append").trigger(availableNow=True).start()
-    gated.awaitTermination()
-    assert spark.table("gated").count() == 3
-    jobs = stream.select("import_id", F.lit("completed").alias("status"))
+    jobs = spark.readStream.schema(texts.schema).parquet(source).select("import_id", F.lit("completed").alias("status"))
     counts = intake.outcome_stream(jobs).writeStream.format("memory").queryName("totals").outputMode("update").trigger(availableNow=True).start()
     counts.awaitTermination()
     assert spark.table("totals").collect()[0].ok == 5
 
 
-def test_change_stream(spark, tmp_path):
-    versions, audit = str(tmp_path / "versions"), str(tmp_path / "audit")
-    docs = books.documents(spark, SF).filter("id in ('O1', 'O2', 'O3')").coalesce(1)
-    docs.write.parquet(f"{versions}/batch_id=-1")
-    at = dt.datetime(2030, 1, 1)
-    changes = spark.createDataFrame(
-        [("O1", 1, at, "payment", None, "not_paid"), ("O2", 2, at, "delete", None, None), ("O3", 3, at, "patch", "description", "new text")],
-        "id string, change_id long, at timestamp, kind string, field string, value string",
-    )
-    settings = lambda s: s.createDataFrame([(i, "ist") for i in range(8)], "tenant_id int, vat_method string")
-    write = intake.change_writer(versions, audit, settings)
-    write(changes, 0)
-    write(changes, 0)  # run again: replaces its own output
-    from taxlake.operators.changes import latest_versions
+CHANGES = "id string, change_id long, at timestamp, kind string, field string, value string, read_at timestamp"
 
-    now = lambda: {r.id: r for r in latest_versions(intake.stored_versions(spark, versions)).collect()}
+
+def test_intake_changes_purge_and_compaction_on_one_store(spark, tmp_path):
+    path = str(tmp_path / "store")
+    settings, rates = _dimensions()
+    take, change = intake.intake_writer(path, settings, rates, "2026-03-01"), intake.change_writer(path, settings)
+    texts = _text_rows(spark)
+    take(texts, 0)
+    store = DocumentStore(spark, path)
+    now = lambda: {r.id: r for r in store.current().collect()}
+    first = now()
+    one, two, three = sorted(first)
+    at = dt.datetime(2030, 1, 1)
+    rows = [
+        (one, 1, at, "payment", None, "not_paid", None), (two, 2, at, "delete", None, None, None),
+        (three, 3, at, "patch", "description", "new text", first[three].updated_at), (three, 4, at, "patch", "description", "too late", at),
+        (one, 5, at, "patch", "grossAmountOriginal", "a lot", None), ("nobody", 6, at, "delete", None, None, None),
+    ]
+    batch = spark.createDataFrame(rows, CHANGES)
+    change(batch, 0)
+    change(batch, 0)  # run again: replaces its own output
+    assert [(r.writer, r.batch_id, r.commit) for r in store.log()] == [("intake", 0, 0), ("changes", 0, 1)]
     rows = now()
-    assert rows["O1"].payment_status == "unpaid" and rows["O2"].deleted_at == at
-    assert rows["O3"].description == "new text" and rows["O3"].review_status == "needs_review"
-    assert spark.read.parquet(versions).count() == 6
-    assert {r.event_type for r in spark.read.parquet(audit).collect()} == {"payment_date_change", "delete", "manual_correction"}
+    assert rows[one].payment_status == "unpaid" and rows[two].deleted_at == at
+    assert rows[three].description == "new text" and rows[three].review_status == "needs_review"
+    reasons = {r.change_id: r.reason for r in spark.read.parquet(f"{path}/rejects").collect()}
+    assert reasons == {4: "stale", 5: "invalid", 6: "unknown_document"}
+    assert {r.event_type for r in spark.read.parquet(f"{path}/audit_changes").collect()} == {"payment_date_change", "delete", "manual_correction"}
+    # what is in the trash can be taken in again, what was only edited cannot
+    again = texts.where(F.col("id").isin(two, three)).withColumn("id", F.concat(F.lit("again"), "id"))
+    take(again, 1)
+    jobs = {r.file_id: r.status for r in spark.read.parquet(f"{path}/jobs").where("commit = 2").collect()}
+    assert jobs["again" + three] == "duplicate" and jobs["again" + two] != "duplicate"
     # an edit that comes late, a purge, and a purge of a document that isn't in the trash
     late = dt.datetime(2001, 1, 1)
-    later = [("O3", 4, late, "patch", "description", "late text"), ("O2", 5, at, "purge", None, None), ("O1", 6, at, "purge", None, None)]
-    write(spark.createDataFrame(later, changes.schema), 1)
+    more = [(three, 7, late, "patch", "description", "late text", None), (two, 8, at, "purge", None, None, None), (one, 9, at, "purge", None, None, None)]
+    change(spark.createDataFrame(more, CHANGES), 1)
     rows = now()
-    assert set(rows) == {"O1", "O3"} and rows["O3"].description == "late text" and rows["O3"].updated_at > at
-    write(spark.createDataFrame([("O2", 7, at, "restore", None, None)], changes.schema), 2)
-    assert set(now()) == {"O1", "O3"}
+    assert set(rows) == {one, three, "again" + two} and rows[three].description == "late text" and rows[three].updated_at > at
+    change(spark.createDataFrame([(two, 10, at, "restore", None, None, None)], CHANGES), 2)
+    assert set(now()) == set(rows)
+    # compaction: the same documents in one commit, nothing of the purged one in any file
+    before = sorted(map(str, store.current().select(sorted(store.current().columns)).collect()))
+    assert store.compact() == 5 and store.vacuum() == [0, 1, 2, 3, 4] and store.compact() is None
+    after = store.current()
+    assert sorted(map(str, after.select(sorted(after.columns)).collect())) == before
+    for table in ("versions", "keys"):
+        files = spark.read.parquet(f"{path}/{table}")
+        assert {r.commit for r in files.select("commit").distinct().collect()} == {5} and files.where(F.col("id") == two).count() == 0
+    # the cube was kept up to date by differences all along
+    cube = lambda rows: sorted(map(str, rows.select(sorted(rows.columns)).collect()))
+    assert cube(store.cube()) == cube(ledger.merged_cube(ledger.ledger_cube(store.current()))) and store.cube().count() > 0
+    # streams go on behind a compaction, and a batch from before it that runs again stays without effect
+    change(batch, 0)
+    change(spark.createDataFrame([(one, 11, at, "payment", None, "unknown", None)], CHANGES), 3)
+    rows = now()
+    assert rows[one].payment_status == "unknown" and rows[three].description == "late text" and store.log()[-1].commit == 6
+    assert cube(store.cube()) == cube(ledger.merged_cube(ledger.ledger_cube(store.current())))
+    named = store.versions(spark.createDataFrame([(one,)], "id string"))
+    assert _buckets_read(named) == 1 and named.count() == 2
+
+
+def test_unique_names_of_a_hot_name(spark):
+    rows = spark.range(3_000).select(
+        F.concat(F.lit("d"), F.lpad("id", 5, "0")).alias("id"), F.lit(1).alias("tenant_id"), F.lit("f").alias("folder"),
+        F.when(F.col("id") % 2 == 0, "hot.pdf").otherwise(F.concat(F.lit("n"), F.col("id") % 500, F.lit(".pdf"))).alias("name"),
+        F.lit(dt.datetime(2026, 1, 1)).alias("created_at"),
+    ).repartition(7)
+    got = {r.id: (r.stored_filename, r.attempt) for r in names.with_unique_names(rows, "folder", "name", F.lit(10)).collect()}
+    seen, expected = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: r.id):
+        seen[r.name] = seen.get(r.name, 10) + 1
+        expected[r.id] = (r.name.replace(".pdf", f"-{seen[r.name]}.pdf"), seen[r.name])
+    assert got == expected
 
 
 def test_changes_in_order(spark):
