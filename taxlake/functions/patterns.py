@@ -190,4 +190,34 @@ DATE_BEFORE_OTHER = (
     r"(?:vom|bis|bestell|auftrag|versand|liefer|due|fällig|paid on|refund)[a-zäöü.]*\s*:?\s*$"
 )
 DATE_BEFORE_ORDER = r"(?:vom|bestell|auftrag)[a-zäöü.]*\s*:?\s*$"
+# lines around parties
+BILL_TO_LINE = r"^(?:bill\s*to|rechnung an|rechnungsadresse|auftraggeber)\s*:?$"
+COMPANY_LABEL = r"^(?:Company|Firma)(?!\S)"
+BOILERPLATE_LINE = (
+    r"reverse charge|richtlinie|directive|steuerschuldnerschaft|handelsregister|commercial register|electronically|"
+    r"cash register|automatically charged|geschäftsbedingungen|kundenservice"
+)
+TAX_LINE = r"(?:^|\s)(?:VAT|USt\.?|Ust-?Id\S*|MwSt\.?|EIN)\b"
+PHONE_LINE = r"^\+?[\d\s()\/.-]{7,}$"
+REGISTER_WORDS = r"\b(?:HRB|HRA|IBAN|BIC|Bank)\b"
+TAX_NUMBER = r"Steuernummer\s+(\d{2,3}\/\d{3}\/\d{4,5})"
+GERMAN_POSTAL = r"\bD(?:E)?[- ]?\d{4,5}\b"
+POSTAL_CITY = r"\b\d{5}\s+\p{Lu}"
+GERMAN_WORDS = r"Rechnung|USt|MwSt"
+# lines of items
+SERVICES_LABEL = r"^(?:Services|Dienstleis?t?ungen)(?!\S)"
+ITEM_HEADER = r"^(?:Description|Beschreibung|Artikelbezeichnung|Produktbeschreibung|Bezeichnung)\s*:?$"
+ITEM_COLUMNS = r"\b(?:Qty|Quantity|Menge|Anzahl|Units?|Preis|Price|Amount|Betrag|Stückpreis|Einh|Tax|USt|MwSt)\b"
+ITEM_NOISE = (
+    r"reverse charge|richtlinie|directive|steuerschuldnerschaft|incoterms|lieferbedingung|frachtgeb|^asin\b|"
+    r"kundenservice|geschäftsbedingungen|vielen dank|thank you|zahlungsreferenz|handelsregister|commercial register"
+)
+ITEM_TAIL = (
+    r"(?:\s+(?:-?[\d.,']+\s?(?:[€$£]|%)?|[€$£]|EUR|USD|USDT|GBP|CHF|Stk\.?|Stück|St\.?|EA|PK|x|\d+\/(?:EA|PK|Stk?)\.?))+$"
+)
+TOTALS_WORDS = (
+    r"\b(?:summe|(?:zahl|gesamt|rechnungs|netto|brutto)?betrag|total|netto|brutto|zwischensumme|ust|mwst|steuer|taxes|"
+    r"versand|shipping|subtotal|rabatt|skonto|punkte|visa|iban)\b|str(?:\.|a[sß]se)\s*\d"
+)
+DATE_LIKE = r"\d{1,2}[.\/]\d{1,2}[.\/]\d{2,4}|\d{4}-\d{2}-\d{2}"
 # --- end of fixed values ----------------------------------------------------------------------

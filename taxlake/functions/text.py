@@ -353,7 +353,7 @@ def country_of_vat_id(vat_id: Column) -> Column:
 
 
 def country_in_text(text: Column) -> Column:
-    """First country rule that matches anywhere."""
+    """First country rule that matches anywhere in a text."""
     chain = F
     for pattern, code in P.COUNTRIES:
         chain = chain.when(text.rlike(P.portable(pattern, "iu")), F.lit(code))

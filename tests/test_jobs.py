@@ -74,22 +74,58 @@ def test_near_duplicates_match_brute_force(spark):
         assert got[a[0]] == (min(hits, key=lambda b: (b[9], b[0]))[0] if hits else None)
 
 
-def test_triples_by_join_equal_triples_in_row(spark):
-    amounts = [D(x) for x in ("100.00", "19.00", "119.00", "7.00", "107.00", "200.00", "14.00", "214.00", "38.10", "238.10", "0.01")]
-    df = spark.createDataFrame([("a", amounts)], "doc_id string, amounts array<decimal(18,2)>")
-    in_row = {tuple(r) for r in df.select(F.inline(extraction.triples_in_row(F.col("amounts")))).collect()}
-    joined = extraction.triples_by_join(df.select("doc_id", F.explode("amounts").alias("amount")))
-    assert in_row == {tuple(r)[1:] for r in joined.collect()} and len(in_row) >= 4
-
-
-def test_long_documents_take_the_join_path(spark, monkeypatch):
-    text = "Rechnung\nRechnungsnummer: A-1\nDatum: 24.01.2026\nNetto 100,00 EUR\nUSt 19,00 EUR\nSumme 119,00 EUR\n"
-    df = spark.createDataFrame([("a", "expense", text, "Me", None)], "doc_id string, direction string, text string, own_name string, own_vat_id string")
-    columns = ["net_amount_original", "vat_amount_original", "gross_amount_original", "original_currency", "field_confidence"]
-    short = extraction.extract(df).select(*columns).collect()
-    monkeypatch.setattr(extraction, "IN_ROW_AMOUNTS", 1)
-    assert extraction.extract(df).select(*columns).collect() == short
-    assert short[0].gross_amount_original == D("119.00") and short[0].original_currency == "EUR"
+def test_triples_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(6)
+    few = [D(x) for x in ("100.00", "19.00", "119.00", "7.00", "107.00", "200.00", "14.00", "214.00", "38.10", "238.10", "0.01")]
+    many = sorted({D(rng.randrange(1, 60_000)) / 100 for _ in range(400)} | set(few))
+    df = spark.createDataFrame([("a", few), ("b", many), ("c", [])], "doc_id string, amounts array<decimal(18,2)>")
+    got = {tuple(r) for r in df.select("doc_id", F.inline(extraction.triples_in_row(F.col("amounts")))).collect()}
+
+    def rate(net, vat):
+        return next((r for r in (19, 7, 5) if abs(vat * 100 - net * r) <= net * D("0.4")), None)
+
+    expected = {
+        (name, n, v, n + v, rate(n, v)) for name, amounts in (("a", few), ("b", many)) for n in amounts for v in amounts
+        if v < n and rate(n, v) and n + v in set(amounts)
+    }
+    assert got == expected and len(expected) > 100
+
+
+LETTER = "id string, direction string, text string, own_name string, own_vat_id string"
+
+
+def _read(spark, text, direction="expense", own="Max Beispiel"):
+    df = spark.createDataFrame([("a", direction, text, own, None)], LETTER).withColumn("doc_id", F.col("id"))
+    return extraction.extract(df).first()
+
+
+def test_parties_are_read_from_their_blocks(spark):
+    receipt = (
+        "Receipt\nInvoice number\nAB-9\nDate paid\nApril 30, 2026\nNimbus AI, LLC\n\n2261 Market Street\nSan Francisco, California 94114\n"
+        "United States\nbilling@nimbus.example\nBill to\nMax Beispiel\nMusterstraße 1\n12345 Beispielstadt\nGermany\nmax@example.com\n"
+        "Description\nQty\nAmount\nNimbus Plus Subscription (per seat)\nApr 30–May 30, 2026\n1\n$50.00\nSubtotal\n$50.00\nTotal\n$50.00\n"
+    )
+    r = _read(spark, receipt)
+    assert (r.issuer_name, r.issuer_country_code, r.recipient_name, r.recipient_country_code) == ("Nimbus AI, LLC", "US", "Max Beispiel", "DE")
+    assert r.issuer_address == "2261 Market Street, San Francisco, California 94114, United States"
+    assert r.recipient_address == "Musterstraße 1, 12345 Beispielstadt, Germany"
+    assert r.description == "Nimbus Plus Subscription (per seat)" and r.field_confidence["description"] == D("0.85")
+    letter = (
+        "Muster Handels GmbH • Am Markt 3 • 20095 Hamburg\n\nRechnung an:\nMax Beispiel\nDublin 2\nIreland\n\n24.01.2026\n\nRechnungsnummer: A-1\n"
+        "Steuernummer 12/345/67890\nBeratung zur Raumakustik   480,00 €\nGesamtbetrag: 480,00 EUR\n"
+    )
+    r = _read(spark, letter)
+    assert (r.issuer_name, r.issuer_country_code, r.recipient_country_code) == ("Muster Handels GmbH", "DE", "IE")
+    assert r.issuer_tax_number == "12/345/67890" and r.description == "Beratung zur Raumakustik"
+    assert r.field_confidence["description"] == D("0.55") and r.field_confidence["invoiceDate"] == D("0.85")
+    # an income document: the block of the customer, its country and no country of the user's own address
+    out = "Max Beispiel\nMusterstraße 1\n12345 Beispielstadt\nDeutschland\n\nBill to\nAcme Corp.\n1 Main Street\nDublin\nIreland\n\nInvoice number A-7\nTotal 10.00 EUR\n"
+    r = _read(spark, out, "income")
+    assert (r.issuer_name, r.recipient_name, r.recipient_country_code, r.recipient_is_business) == ("Max Beispiel", "Acme Corp.", "IE", True)
+    assert r.description is None and "missing_description" in {i.code for i in r.issues}
+    assert _read(spark, "").issuer_name is None
 
 
 def test_exports_and_storage(spark, tmp_path):
