@@ -30,10 +30,12 @@ def read_daily(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_monthly(spark: SparkSession, path: str, year: int) -> DataFrame:
+def read_monthly(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
     """Monthly rates, one country per row and one month per column, to long form.
 
-    A published file holds one year, a few hundred rows. The last row of a currency and month wins.
+    A published file holds one year, a few hundred rows; ``path`` may be a folder of many. Each file has its own
+    header. Without ``year`` it is read from the path, as in ``year=2024``. The last row of a currency and
+    month wins.
     """
     columns = [f"c{i}" for i in range(14)]
     raw = (
@@ -44,17 +46,18 @@ def read_monthly(spark: SparkSession, path: str, year: int) -> DataFrame:
         .option("header", False)
         .schema(", ".join(f"{c} string" for c in columns))
         .csv(path)
+        .select("*", F.col("_metadata.file_path").alias("file"))
         .withColumn("line", F.monotonically_increasing_id())
     )
     clean = lambda c: F.lower(F.trim(F.regexp_replace(c, "\ufeff", "")))
     is_header = (clean(F.col("c0")) == "land") & F.col("c13").isNotNull()
-    start = F.min(F.when(is_header, F.col("line"))).over(W.partitionBy(F.lit(1)))
+    start = F.min(F.when(is_header, F.col("line"))).over(W.partitionBy("file"))
     body = (
         raw.withColumn("start", start)
         .filter((F.col("line") > F.col("start")) & (clean(F.col("c1")) == "1 euro"))
-        .select("line", *[F.col(f"c{m + 1}").alias(str(m)) for m in range(1, 13)])
+        .select("file", "line", *[F.col(f"c{m + 1}").alias(str(m)) for m in range(1, 13)])
     )
-    cells = body.unpivot("line", [str(m) for m in range(1, 13)], "month", "cell")
+    cells = body.unpivot(["file", "line"], [str(m) for m in range(1, 13)], "month", "cell")
     pattern = r"^([0-9][0-9.,\s ]*)\s+([A-Z]{3})$"
     number = F.regexp_replace(F.regexp_extract(F.trim("cell"), pattern, 1), r"[\s ]", "")
     units = F.when(
@@ -66,12 +69,13 @@ def read_monthly(spark: SparkSession, path: str, year: int) -> DataFrame:
         F.col("month").cast("int").alias("month"),
         units.alias("units"),
         "line",
+        (F.regexp_extract("file", r"year=(\d{4})", 1).try_cast("int") if year is None else F.lit(year)).alias("year"),
     ).filter((F.col("units") > 0) & (F.col("currency") != ""))
-    latest = quotes.groupBy("currency", "month").agg(F.max_by("units", "line").alias("units"))
+    latest = quotes.where("year is not null").groupBy("currency", "year", "month").agg(F.max_by("units", "line").alias("units"))
     month = F.lpad(F.col("month").cast("string"), 2, "0")
     return latest.select(
         "currency",
-        F.make_date(F.lit(year), F.col("month"), F.lit(1)).alias("rate_date"),
+        F.make_date(F.col("year"), F.col("month"), F.lit(1)).alias("rate_date"),
         from_units_per_eur(F.col("units")).alias("rate_to_eur"),
-        F.concat(F.lit(f"{MONTHLY_SOURCE} {year}-"), month).alias("source"),
+        F.concat(F.lit(f"{MONTHLY_SOURCE} "), F.col("year").cast("string"), F.lit("-"), month).alias("source"),
     )
