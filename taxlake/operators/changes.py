@@ -35,6 +35,17 @@ PATCH_FIELDS = {
     "grossAmountOriginal": ("gross_amount_original", "decimal(18,2)"),
     "exchangeRateToEur": ("exchange_rate_to_eur", "decimal(18,10)"),
 }
+# fields that a new reading gives -> column
+READ_FIELDS = {
+    **{f: c for f, (c, _) in PATCH_FIELDS.items() if f != "exchangeRateToEur"},
+    "serviceDateFrom": "service_date_from", "serviceDateTo": "service_date_to", "dueDate": "due_date",
+    "issuerAddress": "issuer_address", "issuerTaxNumber": "issuer_tax_number", "recipientAddress": "recipient_address",
+}
+# what follows from them -> column
+DEPENDENT_FIELDS = {
+    "exchangeRateToEur": "exchange_rate_to_eur", "netAmountEur": "net_amount_eur", "vatAmountEur": "vat_amount_eur",
+    "grossAmountEur": "gross_amount_eur", "vatTreatmentCode": "vat_treatment_code",
+}
 _EVENT_TYPES = {
     "patch": "manual_correction", "payment": "payment_date_change", "direction": "direction_change",
     "treatment": "tax_classification_change", "confirm": "confirm", "delete": "delete",
@@ -179,9 +190,14 @@ def audit_trail(events: DataFrame) -> DataFrame:
     return events.withColumn("step", F.row_number().over(order))
 
 
-def apply_changes(documents: DataFrame, changes: DataFrame) -> DataFrame:
+def apply_changes(
+    documents: DataFrame, changes: DataFrame, rates: DataFrame | None = None, today: Column | None = None
+) -> DataFrame:
     """The documents that changes name, in their new state, with ``outcome`` and the confirmation.
 
+    With ``rates``, an edited document in a foreign currency that has no rate gets the official one of its
+    invoice date, or of ``today`` without a date.
+
     ``changes`` are raw or already resolved. Needs ``vat_method`` next to the documents (for the
     classification). Rows without changes do not appear; purged rows appear with the outcome ``purged``
     and no longer belong to the table. ``updated_at`` always moves on when a row changes, also by a
@@ -216,7 +232,7 @@ def apply_changes(documents: DataFrame, changes: DataFrame) -> DataFrame:
             "payment_status": F.coalesce(payment["after"]["status"], "payment_status"),
         }
     )
-    rows = _derived(rows, documents.columns)
+    rows = _derived(rows, documents.columns, rates, today)
 
     # review state: edits ask for a new confirmation, a later confirm needs a clean document
     confirm = change("confirm")
@@ -251,11 +267,18 @@ def apply_changes(documents: DataFrame, changes: DataFrame) -> DataFrame:
     ).select(*documents.columns, "review_reasons", "outcome", "changed", "confirmed_at", "confirmed_from")
 
 
-def _derived(rows: DataFrame, columns: list[str]) -> DataFrame:
+def _derived(rows: DataFrame, columns: list[str], rates: DataFrame | None, today: Column | None) -> DataFrame:
     """What follows from the edited fields: treatment, EUR amounts, period, issues, evidence."""
-    from taxlake.operators.currency import with_eur_amounts
+    from taxlake.operators.currency import resolve_rates, with_eur_amounts
 
     edited = F.size("_changed") > 0
+    if rates is not None:
+        rows = resolve_rates(rows, rates, F.current_date() if today is None else today)
+        lacking = edited & F.col("exchange_rate_to_eur").isNull()
+        found = {"exchange_rate_to_eur": "rate_to_eur", "exchange_rate_date": "rate_date", "exchange_rate_source": "source"}
+        rows = rows.withColumns(
+            {c: F.when(lacking, F.col(f"rate.{part}")).otherwise(F.col(c)) for c, part in found.items() if c in columns}
+        ).drop("rate", "rate_needed", "rate_missing")
     manual = F.coalesce(F.col("manual_override"), F.lit(False)) if "manual_override" in columns else F.lit(False)
     reclassified = F.col("_turned") | (edited & ~manual)
     chosen, turned = (F.try_element_at("changes", F.lit(k)) for k in ("treatment", "direction"))
@@ -391,10 +414,11 @@ def merge_reextraction(documents: DataFrame, extracted: DataFrame, audit: DataFr
     Deleted and confirmed rows are skipped; ``extracted`` carries ``read_at``, the version it was
     made from, and only updates rows that are still at it. Adds ``changed_fields``.
     """
-    columns = {c: f for f, (c, _) in PATCH_FIELDS.items() if c in documents.columns and c in extracted.columns}
+    columns = {c: f for f, c in READ_FIELDS.items() if c in documents.columns and c in extracted.columns}
     fresh = extracted.select(
         "id", F.col("read_at").alias("updated_at"), *[F.col(c).alias(f"_x_{c}") for c in columns],
         F.col("field_confidence").alias("_x_confidence"), F.col("issues").alias("_x_issues"),
+        *([F.col("vat_rates").alias("_x_vat_rates")] if "vat_rates" in extracted.columns else []),
     )
     open_rows = documents.filter(F.col("deleted_at").isNull() & (F.col("review_status") != "confirmed"))
     rows = (
@@ -418,6 +442,7 @@ def merge_reextraction(documents: DataFrame, extracted: DataFrame, audit: DataFr
                 "_x_confidence", lambda k, _: ~F.array_contains(canonical, review.canonical_field(k))
             ),
             "issues": F.col("_x_issues"),
+            **({"vat_rates": F.col("_x_vat_rates")} if "vat_rates" in extracted.columns and "vat_rates" in documents.columns else {}),
             "review_status": F.lit("needs_review"),
             "tax_period_year": F.year("invoice_date"),
             "tax_period_quarter": F.quarter("invoice_date"),
@@ -425,3 +450,56 @@ def merge_reextraction(documents: DataFrame, extracted: DataFrame, audit: DataFr
         }
     )
     return rows.select(*documents.columns, "changed_fields")
+
+
+def reextract(documents: DataFrame, extracted: DataFrame, audit: DataFrame, rates: DataFrame, today: Column) -> DataFrame:
+    """``merge_reextraction`` with all that depends on the merged fields.
+
+    A rate entered by hand stays, every other one is looked up anew for the merged currency and date; EUR amounts
+    follow. The treatment is classified anew unless the user chose it. A foreign currency without a rate is an
+    issue. ``documents`` carries ``vat_method``; ``changed_fields`` also names the dependent values that moved.
+    """
+    from taxlake.operators.currency import resolve_rates, with_eur_amounts
+
+    merged = merge_reextraction(documents, extracted, audit)
+    before = documents.select("id", *[F.col(c).alias(f"_was_{c}") for c in DEPENDENT_FIELDS.values()])
+    by_hand = F.lit(False)
+    if "exchange_rate_source" in documents.columns:
+        by_hand = (F.col("exchange_rate_source") == "manual") & F.col("exchange_rate_to_eur").isNotNull()
+    text = "extracted_text" if "extracted_text" in documents.columns else None
+    rows = resolve_rates(merged.withColumn("_by_hand", F.coalesce(by_hand, F.lit(False))), rates, today, text)
+    stored = F.struct(
+        F.col("exchange_rate_to_eur").alias("rate_to_eur"), F.col("rate.rate_date").alias("rate_date"), F.lit("manual").alias("source")
+    )
+    rows = with_eur_amounts(rows.withColumn("rate", F.when(F.col("_by_hand"), stored).otherwise(F.col("rate"))))
+    lacking = F.col("rate_missing") & ~F.col("_by_hand")
+    missing = F.struct(
+        F.lit("missing_exchange_rate").alias("code"), F.lit("critical").alias("severity"), F.lit("issues.missing_exchange_rate").alias("message_key"),
+        F.lit("exchangeRateToEur").alias("field"), F.lit(None).cast("map<string,string>").alias("params"),
+    ).cast(review.ISSUE_TYPE)
+    chosen = F.coalesce(F.col("manual_override"), F.lit(False)) if "manual_override" in documents.columns else F.lit(False)
+    rows = classify(rows).withColumns(
+        {
+            "exchange_rate_to_eur": F.when(F.col("_by_hand"), F.col("exchange_rate_to_eur")).otherwise(F.col("rate.rate_to_eur")),
+            "vat_treatment_code": F.when(chosen, F.col("vat_treatment_code")).otherwise(F.col("vat_classification.code")),
+            "issues": F.when(lacking, F.concat("issues", F.array(missing))).otherwise(F.col("issues")),
+        }
+    )
+    for name, value in (("exchange_rate_source", F.col("rate.source")), ("exchange_rate_date", F.col("rate.rate_date"))):
+        if name in documents.columns:
+            rows = rows.withColumn(name, F.when(F.col("_by_hand"), F.col(name)).otherwise(value))
+    rows = rows.join(before, "id")
+    moved = [F.when(~F.col(c).eqNullSafe(F.col(f"_was_{c}")), F.lit(f)) for f, c in DEPENDENT_FIELDS.items()]
+    changed = F.concat("changed_fields", F.array_compact(F.array(*moved)))
+    return rows.withColumns({"changed_fields": changed, "review_reasons": review.reasons()}).select(
+        *documents.columns, "changed_fields", "review_reasons"
+    )
+
+
+def reextraction_audit(reextracted: DataFrame, version: str, at: Column) -> DataFrame:
+    """One audit row per document read anew: which fields it changed, forty at most."""
+    return reextracted.select(
+        F.col("id").alias("document_id"), F.lit("re_extraction").alias("event_type"),
+        F.to_json(F.struct(F.lit(version).alias("extractionVersion"), F.slice("changed_fields", 1, 40).alias("changedFields"))).alias("next_value"),
+        at.alias("created_at"), F.lit("user").alias("source"),
+    )

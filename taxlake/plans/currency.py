@@ -80,8 +80,10 @@ def rate_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rate_monthly",
-    with_ctes(DOCS, RATES, _FOREIGN)
-    + "SELECT id, original_currency, CAST(m.rate AS DOUBLE) AS rate_to_eur, m.source FROM foreign_docs LEFT JOIN official_monthly m USING (id)",
+    with_ctes(DOCS, RATES)
+    + """SELECT d.id, d.original_currency, CAST(m.rate AS DOUBLE) AS rate_to_eur, m.source FROM docs d
+LEFT JOIN monthly_rates m ON m.currency = d.original_currency AND m.rate_date = CAST(date_trunc('month', COALESCE(d.invoice_date, DATE '2024-03-10')) AS DATE)
+WHERE d.original_currency <> 'EUR'""",
 )
 def rate_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _foreign(spark, sf_dir).select("id", "original_currency", F.trunc(_day(), "MM").alias("month"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from taxlake.functions import verdicts
 from taxlake.operators import changes, ledger
 from taxlake.plans import books
-from taxlake.plans.catalog import flat, query
-from taxlake.plans.oracle_base import DOCS, SETTINGS, with_ctes
+from taxlake.plans.catalog import cut_lineage, flat, query
+from taxlake.plans.oracle_base import DOCS, RATES, SETTINGS, with_ctes
 
 
 def change_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +160,11 @@ def change_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.audit_rows(resolved_changes(spark, sf_dir), changed_documents(spark, sf_dir))
+    docs = ledger.with_settings(
+        books.documents(spark, sf_dir), books.settings(spark, sf_dir).select("tenant_id", "vat_method")
+    ).withColumn("manual_override", F.lit(False))
+    resolved = cut_lineage(changes.resolve(docs, change_table(spark, sf_dir)))  # read by the state and by the audit
+    return changes.audit_rows(resolved, changes.apply_changes(docs, resolved))
 
 
 @query(
@@ -264,6 +268,105 @@ def reextract_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(merged.select("id", "description", "net_amount_original", "changed_fields", "review_status"))
 
 
+@query(
+    "reextract_dependents",
+    with_ctes(
+        DOCS,
+        RATES,
+        """
+merged AS (
+  SELECT *, CASE WHEN k % 9 = 0 AND k % 5 <> 0 THEN 'USD' ELSE original_currency END AS currency,
+    CASE WHEN k % 7 = 0 THEN net_amount_original ELSE base_net + 1 END AS net, COALESCE(invoice_date, DATE '2024-03-10') AS day,
+    k % 10 = 0 AND exchange_rate_to_eur IS NOT NULL AS by_hand
+  FROM docs WHERE NOT is_deleted AND review_status <> 'confirmed' AND k % 11 <> 0
+),
+daily AS (
+  SELECT m.id, CASE WHEN r.rate_date >= m.day - 7 THEN r.rate END AS rate
+  FROM merged m ASOF LEFT JOIN daily_rates r ON m.currency = r.currency AND m.day >= r.rate_date
+),
+rated AS (
+  SELECT m.*, CASE WHEN by_hand THEN exchange_rate_to_eur WHEN m.currency <> 'EUR' THEN COALESCE(o.rate, d.rate) END AS rate
+  FROM merged m LEFT JOIN daily d USING (id)
+  LEFT JOIN monthly_rates o ON o.currency = m.currency AND o.rate_date = CAST(date_trunc('month', m.day) AS DATE)
+)""",
+    )
+    + """SELECT id, currency AS original_currency, CAST(rate AS DOUBLE) AS rate_to_eur,
+  CAST(CASE WHEN currency = 'EUR' THEN net ELSE ROUND(CAST(net AS DECIMAL(26,2)) * rate, 2) END AS DOUBLE) AS net_amount_eur,
+  CAST(document_date + 30 AS VARCHAR) AS due_date, CASE WHEN k % 6 = 0 THEN vat_treatment_code END AS chosen_code,
+  COALESCE(currency <> 'EUR', FALSE) AND rate IS NULL AS rate_missing FROM rated""",
+)
+def reextract_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New readings with another currency or amount: rates, EUR amounts, dates and chosen treatments."""
+    k = F.col("k")
+    docs = ledger.with_settings(
+        books.documents(spark, sf_dir), books.settings(spark, sf_dir).select("tenant_id", "vat_method")
+    ).withColumns(
+        {
+            "manual_override": k % 6 == 0,
+            "due_date": F.lit(None).cast("date"),
+            "exchange_rate_source": F.when((k % 10 == 0) & F.col("exchange_rate_to_eur").isNotNull(), "manual"),
+        }
+    )
+    fresh = docs.select(
+        "id", "vat_rates",
+        F.when(k % 11 == 0, F.col("updated_at") - F.expr("INTERVAL 1 HOUR")).otherwise(F.col("updated_at")).alias("read_at"),
+        (F.col("base_net") + 1).cast("decimal(18,2)").alias("net_amount_original"),
+        F.when(k % 9 == 0, "USD").otherwise(F.col("original_currency")).alias("original_currency"),
+        F.date_add("document_date", 30).alias("due_date"), "field_confidence",
+        F.filter("issues", lambda i: i["code"] != "missing_exchange_rate").alias("issues"),
+    )
+    edits = F.array_compact(F.array(F.when(k % 5 == 0, "originalCurrency"), F.when(k % 7 == 0, "netAmountOriginal")))
+    audit = docs.select(F.col("id").alias("document_id"), F.explode(edits).alias("field")).select(
+        "document_id", F.lit("manual_correction").alias("event_type"), F.lit("user").alias("source"),
+        F.to_json(F.struct("field")).alias("next_value"),
+    )
+    done = changes.reextract(docs, fresh, audit, books.exchange_rates(spark, sf_dir), F.lit("2024-03-10").cast("date"))
+    return flat(
+        done.select(
+            "id", "original_currency", F.col("exchange_rate_to_eur").alias("rate_to_eur"), "net_amount_eur", "due_date",
+            F.when(F.col("manual_override"), F.col("vat_treatment_code")).alias("chosen_code"),
+            F.array_contains("review_reasons", "missing_exchange_rate").alias("rate_missing"),
+        )
+    )
+
+
+@query(
+    "changes_rates",
+    with_ctes(
+        DOCS,
+        RATES,
+        """
+patched AS (
+  SELECT *, COALESCE(invoice_date, DATE '2024-03-10') AS day, CASE WHEN k % 2 = 0 THEN 'GBP' ELSE 'USD' END AS currency,
+    COALESCE(original_currency, '') <> CASE WHEN k % 2 = 0 THEN 'GBP' ELSE 'USD' END AS moved
+  FROM docs WHERE direction = 'income' AND NOT is_deleted
+),
+daily AS (
+  SELECT p.id, CASE WHEN r.rate_date >= p.day - 7 THEN r.rate END AS rate
+  FROM patched p ASOF LEFT JOIN daily_rates r ON p.currency = r.currency AND p.day >= r.rate_date
+),
+rated AS (
+  SELECT p.*, CASE WHEN NOT moved THEN exchange_rate_to_eur ELSE COALESCE(exchange_rate_to_eur, o.rate, d.rate) END AS rate
+  FROM patched p LEFT JOIN daily d USING (id)
+  LEFT JOIN monthly_rates o ON o.currency = p.currency AND o.rate_date = CAST(date_trunc('month', p.day) AS DATE)
+)""",
+    )
+    + """SELECT id, currency AS original_currency, CAST(rate AS DOUBLE) AS rate_to_eur,
+  CAST(CASE WHEN NOT moved THEN net_amount_eur ELSE ROUND(CAST(net_amount_original AS DECIMAL(26,2)) * rate, 2) END AS DOUBLE) AS net_amount_eur FROM rated""",
+)
+def changes_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new currency for every income document; those without a rate get the official one."""
+    docs = ledger.with_settings(
+        books.documents(spark, sf_dir).where("direction = 'income' AND deleted_at IS NULL"),
+        books.settings(spark, sf_dir).select("tenant_id", "vat_method"),
+    )
+    feed = docs.selectExpr(
+        "id", "k AS change_id", "created_at AS at", "'patch' AS kind", "'originalCurrency' AS field", "IF(k % 2 = 0, 'GBP', 'USD') AS value"
+    )
+    done = changes.apply_changes(docs, feed, books.exchange_rates(spark, sf_dir), F.lit("2024-03-10").cast("date"))
+    return flat(done.select("id", "original_currency", F.col("exchange_rate_to_eur").alias("rate_to_eur"), "net_amount_eur"))
+
+
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model answers written from the documents: right in other notation, wrong, or unreadable."""
     docs = books.documents(spark, sf_dir)
