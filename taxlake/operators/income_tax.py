@@ -161,37 +161,41 @@ def income_tax_estimate(
     """Estimate per tenant and year. Build the cube with the same ``as_of``."""
     rows = recognized_cube(cube, settings)
     income = F.col("direction") == "income"
-    undated = (
-        rows.filter(F.col("month").isNull())
-        .groupBy("tenant_id")
-        .agg(F.sum(F.when(F.col("base_bucket") == "excluded", F.col("n"))).alias("undated_excluded"))
-    )
-    dated = rows.filter(F.col("month").isNotNull()).withColumn("year", F.year("month"))
     as_of_year = int(as_of[:4]) if as_of else None
-    if as_of:
-        dated = dated.filter((F.col("year") != as_of_year) | ~F.col("after_as_of"))
+    recognized = F.col("month").isNotNull()
+    counts_in = recognized & ((F.year("month") != as_of_year) | ~F.col("after_as_of")) if as_of else recognized
+
+    # one pass over the cube: a row counts in its year of recognition, and shows the years of its dates, also
+    # where nothing is recognized; rows without recognition come together under a null year
+    def tag(when: Column, year: Column, counted: bool) -> Column:
+        return F.when(when, F.struct(year.alias("year"), F.lit(counted).alias("counted")))
+
+    tags = F.array_compact(
+        F.array(
+            tag(counts_in, F.year("month"), True),
+            tag(~recognized, F.lit(None).cast("int"), True),
+            *[tag(F.col(d).isNotNull(), F.year(d), False) for d in ("invoice_month", "payment_month")],
+        )
+    )
+    tagged = rows.withColumn("tag", F.explode(F.array_distinct(tags))).withColumns({"year": F.col("tag.year"), "counted": F.col("tag.counted")})
 
     def counted(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+        return F.coalesce(F.sum(F.when(F.col("counted") & condition, F.col("n"))), F.lit(0))
 
-    yearly = dated.groupBy("tenant_id", "year").agg(
-        *_bucket_sums(income, "income"),
-        *_bucket_sums(~income, "expenses"),
+    yearly = tagged.groupBy("tenant_id", "year").agg(
+        *_bucket_sums(F.col("counted") & income, "income"),
+        *_bucket_sums(F.col("counted") & ~income, "expenses"),
         counted(F.col("bucket") == "excluded").alias("excluded_count"),
         counted(F.col("bucket") == "provisional").alias("provisional_count"),
         counted(F.col("payment_date_missing")).alias("payment_dates_missing"),
+        counted(F.col("base_bucket") == "excluded").alias("base_excluded"),
     )
-    # every year the tenant has any dated document in, also those without recognized ones
-    years = cube.select(
-        "tenant_id", F.explode(F.array(F.year("invoice_month"), F.year("payment_month"))).alias("year")
-    ).filter(F.col("year").isNotNull()).distinct()
-    counts = [c for c in yearly.columns if c not in ("tenant_id", "year")]
+    undated = F.coalesce(F.max(F.when(F.col("year").isNull(), F.col("base_excluded"))).over(W.partitionBy("tenant_id")), F.lit(0))
     figures = (
-        years.join(yearly, ["tenant_id", "year"], "left")
-        .withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(yearly.schema[c].dataType)) for c in counts})
-        .join(undated, "tenant_id", "left")
-        .withColumn("excluded_count", F.col("excluded_count") + F.coalesce("undated_excluded", F.lit(0)))
-        .drop("undated_excluded")
+        yearly.withColumn("undated", undated)
+        .where("year is not null")
+        .withColumn("excluded_count", F.col("excluded_count") + F.col("undated"))
+        .drop("undated", "base_excluded")
     )
     figures = with_settings(figures, settings)
 
