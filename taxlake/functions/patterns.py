@@ -192,7 +192,6 @@ DATE_BEFORE_OTHER = (
 DATE_BEFORE_ORDER = r"(?:vom|bestell|auftrag)[a-zäöü.]*\s*:?\s*$"
 # lines around parties
 BILL_TO_LINE = r"^(?:bill\s*to|rechnung an|rechnungsadresse|auftraggeber)\s*:?$"
-COMPANY_LABEL = r"^(?:Company|Firma)(?!\S)"
 BOILERPLATE_LINE = (
     r"reverse charge|richtlinie|directive|steuerschuldnerschaft|handelsregister|commercial register|electronically|"
     r"cash register|automatically charged|geschäftsbedingungen|kundenservice"

@@ -12,11 +12,6 @@ def valid_iso_date(text: Column) -> Column:
     return F.coalesce(day.isNotNull() & F.year(day).between(1900, 2200), F.lit(False))
 
 
-def quarter_of_month(month: Column) -> Column:
-    """1-4 for months 1-12, null outside that range."""
-    return F.when(month.between(1, 12), F.ceil(month / 3).cast("int"))
-
-
 def date_in_period(day: Column, year: Column, quarter: Column, month: Column) -> Column:
     """Month decides when given, else quarter, else the year alone; null date is outside."""
     inside = (F.year(day) == year) & F.coalesce(

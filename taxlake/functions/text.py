@@ -379,27 +379,6 @@ def has_company_form(name: Column) -> Column:
     return F.coalesce(name.rlike(P.portable(P.LEGAL_FORM)), F.lit(False))
 
 
-_COMPANY_LINE = r"(?m)^[ \t]*([^\n]*?" + P.portable(P.LEGAL_FORM) + r")"
-
-
-def issuer_name(text: Column, own_name: Column) -> Column:
-    """First line with a legal form, cut after the form; own-name and bank lines are skipped."""
-    lines = matches(text, _COMPANY_LINE, 1)
-    own = F.filter(
-        F.split(F.lower(F.trim(F.coalesce(own_name, F.lit("")))), r"\s+"), lambda t: F.length(t) > 1
-    )
-
-    def first_usable(tokens: Column) -> Column:
-        def usable(line: Column) -> Column:
-            mine = (F.size(tokens) > 0) & F.forall(tokens, lambda t: F.lower(line).contains(t))
-            return ~mine & ~line.rlike(r"(?i)^bank\b")
-
-        return F.try_element_at(F.filter(lines, usable), F.lit(1))
-
-    name = let(own, first_usable)
-    return F.regexp_replace(F.regexp_replace(F.trim(name), r"(?i)^Verkauft von\s+", ""), r"[,;]+$", "")
-
-
 def payment_status(payment_date: Column, paid_wording: Column) -> Column:
     return F.when(payment_date.isNotNull() | paid_wording, F.lit("paid")).otherwise(F.lit("unknown"))
 

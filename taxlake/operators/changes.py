@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taxlake.functions import review
+from taxlake.functions.periods import assigned_period
 from taxlake.functions.vat import applicable
 from taxlake.operators.classification import classify
 
@@ -303,9 +304,7 @@ def _derived(rows: DataFrame, columns: list[str], rates: DataFrame | None, today
             "exchange_rate_to_eur": F.when(
                 edited & (F.upper("original_currency") == "EUR"), F.lit(None)
             ).otherwise(F.col("exchange_rate_to_eur")),
-            "tax_period_year": F.year("invoice_date"),
-            "tax_period_quarter": F.quarter("invoice_date"),
-            "tax_period_month": F.month("invoice_date"),
+            **{f"tax_period_{part}": assigned_period(F.col("invoice_date"))[part] for part in ("year", "quarter", "month")},
         }
     )
     rows = rows.withColumn("_before", F.col("issues"))
@@ -373,13 +372,6 @@ def rejected_changes(resolved: DataFrame) -> DataFrame:
     return resolved.filter(F.col("fate") != "live").select("id", "change_id", "at", "kind", "field", "value", F.col("fate").alias("reason"))
 
 
-def merge_back(documents: DataFrame, changed: DataFrame) -> DataFrame:
-    """The new documents table: untouched rows plus changed ones, purged rows left out."""
-    untouched = documents.join(changed.select("id"), "id", "left_anti")
-    kept = changed.filter(F.col("outcome") != "purged").select(*documents.columns)
-    return untouched.unionByName(kept)
-
-
 def lifecycle_counts(changed: DataFrame) -> DataFrame:
     """How many documents ended with each outcome."""
     return changed.groupBy("outcome").agg(F.count("*").alias("documents"))

@@ -381,7 +381,33 @@ def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("verdict_merge")
+def _confidence_sql(index: int) -> str:
+    return f"CAST(CASE WHEN (k + {index}) % 12 = 0 THEN 0 ELSE (55 + (k * 3 + {index * 7}) % 45) * 0.01 END AS DECIMAL(4,2))"
+
+
+@query(
+    "verdict_merge",
+    with_ctes(
+        DOCS,
+        f"""
+judged AS (
+  SELECT *, {_confidence_sql(0)} AS c_number, {_confidence_sql(14)} AS c_net, {_confidence_sql(12)} AS c_text,
+    invoice_number IS NULL AS number_wrong,
+    net_amount_original IS NULL OR (k % 2 = 1 AND base_net <> CAST(0.01 AS DECIMAL(18,2))) AS net_wrong, k % 3 = 0 AS net_unsure
+  FROM docs WHERE k % 17 <> 0
+)""",
+    )
+    + """SELECT id,
+  number_wrong OR (net_wrong AND NOT net_unsure) OR c_number < 0.92 AND NOT number_wrong OR c_number > 0.55 AND number_wrong
+    OR NOT net_unsure AND CASE WHEN net_wrong THEN c_net > 0.55 ELSE c_net < 0.85 END OR (description IS NOT NULL AND c_text < 0.85) AS changed,
+  CAST(number_wrong::INT + net_wrong::INT AS BIGINT) AS disagreements,
+  concat_ws('|', CASE WHEN k % 37 = 0 THEN 'conflicting_totals:grossAmount' END,
+    CASE WHEN has_missing_rate THEN 'missing_exchange_rate:exchangeRateToEur' END, CASE WHEN k % 14 = 0 THEN 'unclear_business_status:recipientIsBusiness' END,
+    CASE WHEN k % 15 = 0 THEN 'ambiguous_date_format:invoiceDate' END, CASE WHEN k % 16 = 0 THEN 'missing_description:description' END,
+    CASE WHEN k % 18 = 0 THEN 'unclear_recipient_country:recipientCountryCode' END, CASE WHEN k % 61 = 0 THEN 'llm_disagreement:currency' END,
+    CASE WHEN number_wrong THEN 'llm_disagreement:invoiceNumber' END, CASE WHEN net_wrong AND NOT net_unsure THEN 'llm_disagreement:netAmountOriginal' END) AS issues
+FROM judged""",
+)
 def verdict_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = {
         "invoiceNumber": "invoice_number", "netAmountOriginal": "net_amount_original", "description": "description",

@@ -404,3 +404,10 @@ def test_changes_in_order(spark):
     assert audit[3].previous_value == '{"field":"description","value":"first"}'
     assert state_changes.rejected_changes(resolved).count() == 9
     assert state_changes.resolve(docs, batch.limit(0)).count() == 0
+
+
+def test_tariff_overrides_are_split(spark):
+    rows = spark.createDataFrame([(2025, "own-1"), (1999, "own"), (2025, "no label!"), (None, "x")], "year int, label string")
+    valid, rejected = quality.split_overrides(rows, F.array().cast("array<string>"))
+    assert [tuple(r) for r in valid.collect()] == [(2025, "own-1")]
+    assert {r.label: r.errors for r in rejected.collect()} == {"own": ["invalid_year"], "no label!": ["invalid_source_label"], "x": ["invalid_year"]}
