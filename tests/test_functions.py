@@ -6,7 +6,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from taxlake.functions import names, text as X, verdicts
+from taxlake.functions import names, patterns as P, text as X, verdicts
 from taxlake.functions.money import convert, round_money, truncate_money
 from taxlake.functions.periods import filing_period, recognition, valid_iso_date, vat_assignment
 from taxlake.functions.rates import is_iso_currency, printed_rate
@@ -169,3 +169,39 @@ def test_verdict_parsing_and_formatting(spark):
         same("invoiceDate", "2025-10-07", "October 7, 2025"), same("dueDate", "2025-10-07", "07.10.25"),
         same("description", None, "(not extracted)"), same("description", "a", "b"), same("description", "a", None),
     ) == [True, True, True, True, True, False, False]
+
+
+def test_matches_with_context_take_one_scan(spark):
+    """Every match is read with what stands around it, at the text's ends and beside other matches too."""
+    texts = ["1.50 € 2,00", "\nvom 01.02.2024/ 31/12/2023 am 13/13/2023 US $3.10 \u0001DE 123 456 789", "x" * 50 + "Datum: 29.02.2023 28.02.2023", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    day = lambda a: [(str(d.date), d.raw, d.before) for d in a]
+    got = [r for r, in df.select(X.dates(F.col("t"))).collect()]
+    assert day(got[1]) == [("2023-12-31", "31/12/2023", "vom 01.02.2024/ ")]
+    assert day(got[2]) == [("2023-02-28", "28.02.2023", ("x" * 50 + "Datum: 29.02.2023 ")[-34:])]
+    assert got[0] == got[3] == [] and got[4] is None
+    money = [[(str(a.value), a.currency) for a in r] for r, in df.select(X.amounts(F.col("t"), F.lit("auto"))).collect() if r is not None]
+    assert money[0] == [("1.50", "EUR"), ("2.00", "EUR")] and ("3.10", "USD") in money[1]
+    assert [r for r, in df.select(X.vat_ids(F.col("t"), F.lit(None).cast("string"))["all"]).collect()][1] == ["DE123456789"]
+    for read in (X.dates(F.col("t")), X.amounts(F.col("t"), F.lit("auto")), X.vat_ids(F.col("t"), F.lit("x"))):
+        plan = df.select(read.alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert "regexp_extract_all(" not in plan and plan.count("split(regexp_replace(") == 1
+
+
+def test_country_without_regard_to_case(spark):
+    """One look at the lower-cased text finds what the rules find without regard to case, letters that fold to ASCII included."""
+    texts = ["GERMANY", "nach ÖSTERREICH", "xÖsterreich", "\u0130ndia", "\u017fpain", "\u212aanada", "xspain", "Éire und Deutschland", "u.s.a.", "U.S",
+             "tu.s.a", "I\u0307ndia", "Deutschland\u017f", "\u0131ndia", "LËTZEBUERG", "", None]
+    t = F.col("t")
+    rules = F.coalesce(*[F.when(t.rlike(P.portable(pattern, "iu")), F.lit(code)) for pattern, code in P.COUNTRIES])
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(t, rules, X.country_in_text(t), X.names_country(t)).collect()
+    assert [r[2] for r in rows] == [r[1] for r in rows]
+    assert [r[3] for r in rows] == [None if r[0] is None else r[1] is not None for r in rows]
+    assert {"DE", "AT", "IN", "ES", "CA", "US", "LU"} <= {r[1] for r in rows}
+
+
+def test_an_answer_is_parsed_once(spark):
+    df = spark.createDataFrame([('x {"fields":{"currency":{"agrees":true,"confidence":"low"},"dueDate":{"agrees":"yes"}}}',), ("{}",), ("no",)], "t string")
+    read = df.select(verdicts.parse_output(F.col("t")).alias("v"))
+    assert [None if r.v is None else {k: tuple(v) for k, v in r.v.items()} for r in read.collect()] == [{"currency": (True, None, "low")}, None, None]
+    assert read._jdf.queryExecution().analyzed().toString().lower().count("parse_json") == 1
