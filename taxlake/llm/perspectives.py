@@ -41,16 +41,11 @@ def _segments() -> Column:
 
 
 def _masks(segments: Column) -> Column:
-    """[start, end) of every trained body."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(s: Column, x: Column) -> Column:
-        begin = s["at"] + F.length(x["head"])
-        end = begin + F.length(x["body"])
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["train"], F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
-
-    return F.aggregate(segments, start, step, lambda s: s["spans"])
+    """[start, end) of every trained body; a segment knows where it ends, so a dialogue of any length takes one pass."""
+    return F.transform(
+        F.filter(segments, lambda x: x["segment"]["train"]),
+        lambda x: F.struct((x["end"] - F.length(x["segment"]["body"])).cast("int").alias("start"), x["end"].cast("int").alias("end")),
+    )
 
 
 def ranked(turns: DataFrame) -> DataFrame:
@@ -93,15 +88,20 @@ def rotated(
         .distinct()
     )
     seen = placed.join(people, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("piece") == F.col("of_piece")))
+    one = ["conv_id", "perspective", "piece"]
+    shown = seen.select(*one, _segments().alias("segment"))
+    size = F.length("segment.head") + F.length("segment.body")
+    upto = F.sum(size).over(Window.partitionBy(*one).orderBy("segment.place").rowsBetween(Window.unboundedPreceding, 0))
     return (
-        seen.groupBy("conv_id", "perspective", "piece")
-        .agg(F.sort_array(F.collect_list(_segments())).alias("segments"))
+        shown.withColumn("end", upto)
+        .groupBy(*one)
+        .agg(F.sort_array(F.collect_list(F.struct("segment", "end"))).alias("segments"))
         .select(
             "conv_id",
             "perspective",
             "piece",
             F.size("segments").cast("long").alias("n_turns"),
-            F.array_join(F.transform("segments", lambda x: F.concat(x["head"], x["body"])), "").alias("text"),
+            F.array_join(F.transform("segments", lambda x: F.concat(x["segment"]["head"], x["segment"]["body"])), "").alias("text"),
             _masks(F.col("segments")).alias("mask"),
         )
     )

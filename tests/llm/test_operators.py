@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taxlake.llm import (
-    decontaminate, fertility, mixing, passages, perspectives, prefix_join, pseudonyms, repeats, url_models, warc,
+    decontaminate, fertility, mixing, passages, perspectives, prefix_join, pseudonyms, queries, repeats, url_models, warc,
 )
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -555,6 +555,17 @@ def test_perspectives_by_rank(spark, most):
     assert got == expected
 
 
+def test_perspectives_query_renders_whole_dialogues(spark, tmp_path):
+    """More turns than the query once cut at; eve speaks at the end only, and still sees all that came before."""
+    rows = [(1, i, "eve" if i > 5_000 else "ann" if i % 2 else "bob", f"t{i}") for i in range(5_003)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.perspective: r for r in queries.QUERIES["op8_perspective_rotation"](spark, str(tmp_path)).collect()}
+    assert {who: (r.piece, r.n_turns) for who, r in got.items()} == {who: (0, 5_003) for who in ("ann", "bob", "eve")}
+    marks = [tuple(map(int, m.split("-"))) for m in got["eve"].mask.split(",")]
+    assert [got["eve"].text[a:b] for a, b in marks] == ["t5001<|end|>\n", "t5002<|end|>\n"]
+    assert got["eve"].text.startswith("<|user|>\nbob: t0<|end|>\n<|user|>\nann: t1<|end|>\n")
+
+
 def test_warc_derivatives_round_trip(spark, tmp_path):
     page = '<html><head><title>T &amp; t</title><script>x("</p>")</script></head><body><p>One<br>two &lt;3</p><!-- no --><a href="/x?a=1&amp;b=2">go</a></body></html>'
     rows = [(1, "http://a.org/", page), (2, None, None), (3, "http://b.org/", ""), (None, "http://c.org/", "<p>é</p>"), (1, "http://a.org/", page)]
