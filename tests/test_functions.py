@@ -10,6 +10,7 @@ from taxlake.functions import names, patterns as P, text as X, verdicts
 from taxlake.functions.money import convert, round_money, truncate_money
 from taxlake.functions.periods import filing_period, recognition, valid_iso_date, vat_assignment
 from taxlake.functions.rates import is_iso_currency, printed_rate
+from taxlake.operators import extraction
 from taxlake.operators.income_tax import resolve_tariffs, tariff_table, taxpayer_tax
 
 
@@ -188,6 +189,27 @@ def test_matches_with_context_take_one_scan(spark):
         assert "regexp_extract_all(" not in plan and plan.count("split(regexp_replace(") == 1
 
 
+def test_groups_of_matches_take_one_scan(spark):
+    t = F.col("t")
+    df = spark.createDataFrame([("19 % 1.00 0.19 and 7%, MwSt. 5 %\u0001",), ("01.02.2024 bis zum 03.02.2024",), ("",), (None,)], "t string")
+    pattern = P.portable(P.RATE_WORDING)
+    got = df.select(X.match_groups(t, pattern, 2), X.matches(t, pattern, 1), X.matches(t, pattern, 2), X.service_period(t).alias("p"), extraction._worded_rate(t).alias("r"))
+    rows = got.collect()
+    for r in rows:
+        assert (None if r[0] is None else [tuple(g) for g in r[0]]) == (None if r[1] is None else list(zip(r[1], r[2])))
+    assert (str(rows[1].p["from"]), str(rows[1].p["to"])) == ("2024-02-01", "2024-02-03") and rows[0].p is None and rows[0].r is None
+    plan = df.select(extraction._worded_rate(t), extraction.rate_rows(t, F.lit("en")))._jdf.queryExecution().analyzed().toString()
+    assert "regexp_extract_all(" not in plan
+    assert extraction._ANY_LABEL.startswith("^(?:")
+
+
+def test_totals_are_read_once(spark):
+    texts = [(1, "Netto 100,00 MwSt 19,00 Summe 119,00"), (2, "nichts"), (3, None), (4, "100,00 19,00 119,00 7,00 107,00")]
+    found = extraction.totals_triples(spark.createDataFrame(texts, "doc_id int, text string"))
+    assert sorted((r.doc_id, str(r.gross), r.rate) for r in found.collect()) == [(1, "119.00", 19), (4, "107.00", 7), (4, "119.00", 19)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("map_from_entries(") == 1
+
+
 def test_country_without_regard_to_case(spark):
     """One look at the lower-cased text finds what the rules find without regard to case, letters that fold to ASCII included."""
     texts = ["GERMANY", "nach ÖSTERREICH", "xÖsterreich", "\u0130ndia", "\u017fpain", "\u212aanada", "xspain", "Éire und Deutschland", "u.s.a.", "U.S",
