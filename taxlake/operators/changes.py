@@ -17,6 +17,7 @@ from taxlake.functions import review
 from taxlake.functions.periods import assigned_period
 from taxlake.functions.vat import applicable
 from taxlake.operators.classification import classify
+from taxlake.session import possibly_named
 
 # patchable document field -> (column, type)
 PATCH_FIELDS = {
@@ -79,7 +80,8 @@ def resolve(documents: DataFrame, changes: DataFrame) -> DataFrame:
         F.col("direction").alias("_direction"), F.col("vat_treatment_code").alias("_code"), F.col("invoice_date").alias("_date"),
         F.struct(F.col("payment_date").cast("string").alias("value"), F.col("payment_status").alias("status")).alias("_paid"),
         *[F.col(c).cast("string").alias(f"_stored_{f}") for f, c in stored.items()],
-    ).join(changes.select("id").distinct(), "id", "left_semi")
+    )
+    facts = possibly_named(facts, changes)
     kind, field, value = F.col("kind"), F.col("field"), F.col("value")
     plain = lambda c: F.struct(c.alias("value"), F.lit(None).cast("string").alias("status"))
     by_field = lambda pick: F.coalesce(*[F.when(field == f, pick(f)) for f in stored]) if stored else F.lit(None).cast("string")
@@ -205,7 +207,7 @@ def apply_changes(
     change that comes late, so that it can serve as the version that a writer has read.
     """
     resolved = changes if "fate" in changes.columns else resolve(documents, changes)
-    rows = documents.join(collapse(resolved), "id")
+    rows = possibly_named(documents, changes).join(collapse(resolved), "id")
     change = lambda key: F.try_element_at("changes", F.lit(key))
     trash, purged = change("trash"), change("purge").isNotNull()
 

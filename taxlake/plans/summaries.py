@@ -271,7 +271,7 @@ _CONTRIBUTIONS = " UNION ALL ".join(
 
 @query("vat_contributions", with_ctes(*_VAT_BASE) + _CONTRIBUTIONS)
 def vat_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(ledger.vat_contributions(books.documents(spark, sf_dir), books.settings(spark, sf_dir)))
+    return flat(ledger.vat_contributions(books.documents(spark, sf_dir), books.stored_settings(spark, sf_dir)))
 
 
 @query("income_tax_estimate", with_ctes(*_REC_BASE, *_estimate_ctes(None)) + "SELECT * FROM estimate")
@@ -297,7 +297,7 @@ def income_tax_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
   bucket, CAST(value AS DOUBLE) AS amount FROM recognized2 WHERE rec_date IS NOT NULL""",
 )
 def recognized_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(ledger.recognized_contributions(books.documents(spark, sf_dir), books.settings(spark, sf_dir)))
+    return flat(ledger.recognized_contributions(books.documents(spark, sf_dir), books.stored_settings(spark, sf_dir)))
 
 
 def _overview(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -158,7 +158,7 @@ FROM ruled2""".replace("{eu}", _EU)
 
 def _classified(spark: SparkSession, sf_dir: str, direction: str) -> DataFrame:
     docs = books.documents(spark, sf_dir).filter(F.col("direction") == direction)
-    rows = ledger.with_settings(docs, books.settings(spark, sf_dir).select("tenant_id", "vat_method"))
+    rows = ledger.with_settings(docs, books.stored_settings(spark, sf_dir).select("tenant_id", "vat_method"))
     return flat(
         classification.classify(rows)
         .select("id", "vat_classification.*")
