@@ -363,6 +363,57 @@ def test_unique_names_of_a_hot_name(spark):
     assert got == expected
 
 
+def test_unique_names_across_parts(spark):
+    """Names that end in one part and go on in several later ones; the documents are joined with nothing but a row a part."""
+    rows = spark.range(400).select(
+        F.col("id").cast("string").alias("id"), F.lit(1).alias("tenant_id"), F.lit("f").alias("folder"),
+        F.concat(F.lit("n"), (F.col("id") % 3), F.lit(".pdf")).alias("name"),
+        (F.lit(dt.datetime(2026, 1, 1)) + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("created_at"), F.lit("wide").alias("other"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        numbered = names.with_unique_names(rows, "folder", "name")
+        got = {int(r.id): r.attempt for r in numbered.collect()}
+        plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {i: i // 3 + 1 for i in range(400)}
+    assert plan.count("strategy=broadcast") == plan.count("Join ")
+
+
+def test_plain_names_are_cleaned_as_others(spark):
+    texts = ["Customer#1 GmbH", "a  b", "RE-12", "e.K.", "x -y", "a_b.c-d", "Müller & Co", "5$ off", "ab\n", "a,b", "-a", "", " a", "a.b c", None, "a/b"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    plain = {r.i: r.t for r in names.with_sanitized(rows, {"t": (F.col("t"), 60)}).collect()}
+    expected = ["Customer#1-GmbH", "a-b", "RE-12", "e.K", "x-y", "a_b.c-d", "Mueller-&-Co", "5USD-off", "ab", "a,b", "a", "", "a", "a.b-c", None, "a-b"]
+    assert plain == dict(enumerate(expected))
+
+
+def test_unnamed_documents_are_not_shuffled(spark):
+    from taxlake.session import possibly_named
+
+    rows = spark.range(1_000).select(F.when(F.col("id") > 0, F.col("id").cast("string")).alias("id"), F.lit("wide").alias("other"))
+    named = spark.createDataFrame([("5",), ("5",), ("700",), ("2000",), (None,)], "id string")
+    kept = possibly_named(rows.unionByName(rows), named)
+    found = [r.id for r in kept.collect()]
+    assert kept.columns == rows.columns and found.count("5") == found.count("700") == 2 and len(found) < 20
+    assert possibly_named(rows, spark.range(3)).count() == 1_000  # other types: left to the join
+
+
+def test_settings_are_broadcast_to_documents(spark):
+    """Also where the orders are far beyond the size that Spark broadcasts."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4000")
+    try:
+        rows = ledger.with_settings(books.documents(spark, SF).where("direction = 'income'"), books.stored_settings(spark, SF).select("tenant_id", "vat_method"))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin [tenant_id" in plan
+
+
 def test_changes_in_order(spark):
     from taxlake.operators import changes as state_changes
 
