@@ -6,7 +6,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from taxlake.functions import names, patterns as P, text as X, verdicts
+from taxlake.functions import lines, names, patterns as P, text as X, verdicts
 from taxlake.functions.money import convert, round_money, truncate_money
 from taxlake.functions.periods import filing_period, recognition, valid_iso_date, vat_assignment
 from taxlake.functions.rates import is_iso_currency, printed_rate
@@ -220,3 +220,54 @@ def test_an_answer_is_parsed_once(spark):
     read = df.select(verdicts.parse_output(F.col("t")).alias("v"))
     assert [None if r.v is None else {k: tuple(v) for k, v in r.v.items()} for r in read.collect()] == [{"currency": (True, None, "low")}, None, None]
     assert read._jdf.queryExecution().analyzed().toString().lower().count("parse_json") == 1
+
+
+def test_wording_by_parts_is_the_wording_by_one_pattern(spark):
+    """Plain alternatives are looked for byte by byte, patterns only behind the plain text that they need."""
+    assert X._alternatives(r"a(?:b|c)|[|]d|e\|f") == [r"a(?:b|c)", "[|]d", r"e\|f"]
+    assert [X._needed(p) for p in (r"credits?\b", r"(?<!un)paid\b", r"one[- ]stop", r"x{0,6}", r"\d+")] == ["credit", "paid", "stop", "", ""]
+    texts = ["unpaid", "paid", "prepaid.", "§ 19 UStG", "one-stop", "boss", "OSS", "Versand", "credit", "Gutschrifts", "Umsatzsteuer erklärt durch X\nim Lieferland", "§13b", "", None]
+    t = F.col("t")
+    whole = lambda name: F.coalesce(F.lower(t).rlike(P.portable(P.SIGNALS[name].lower(), "s" if name == "oss" else "")), F.lit(False))
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    for row in df.select(F.array(*map(whole, P.SIGNALS)), F.array(*[X.has(t, name) for name in P.SIGNALS])).collect():
+        assert row[0] == row[1]
+    plan = df.select(X.signals(t))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("lower(t#") == 1
+
+
+def test_a_label_line_holds_the_rules_that_fit(spark):
+    t = F.col("t")
+    df = spark.createDataFrame([("Rechnungsnummer: RE-1\nNettobetrag 1,00 EUR\n+19 % USt 0,19\nDate\u0001 paid\nUmsatz",), ("xDatum",), (None,)], "t string")
+    rules = extraction._RULES
+    rows = df.select(extraction.label_lines(t).alias("l")).collect()
+    assert [[(rules[x.rule], x.tag) for x in e.tags] for e in rows[0].l] == [
+        [(r"(?i)Rechnungsnummer\b", "Rechnungsnummer")], [(r"(?i)Nettobetrag\b", "Nettobetrag")], [(rules[-6], "+19 % USt")], [(r"(?i)Date\b", "Date")],
+    ]
+    assert rows[1].l == [] and rows[2].l is None
+    # every rule is among those of the letter that its matches begin with
+    assert sorted({i for c in (*extraction._INITIALS, "") for i in extraction._rules_of(c)}) == list(range(len(rules)))
+
+
+def test_lines_are_looked_through_once(spark):
+    t, n = F.col("t"), F.col("n")
+    df = spark.createDataFrame([("Foo GmbH, Musterweg 1, 10115 Berlin\nBill to\nBar AG\n75001 Paris\nFrance", "Studio"), ("Services\nWeb design", None)], "t string, n string")
+    parties = df.select(lines.parties(t, n, extraction._ANY_LABEL).alias("p"))
+    plan = parties._jdf.queryExecution().analyzed().toString()
+    assert plan.count("auftraggeber") == 1 and plan.count("array_position(") == 2
+    assert [(r.p.company, r.p.company_address, r.p.billed, r.p.billed_country) for r in parties.collect()] == [
+        ("Foo GmbH", "Musterweg 1, 10115 Berlin", "Bar AG", "FR"), (None, None, None, None),
+    ]
+
+
+def test_dates_of_any_text(spark):
+    texts = ["01.02.2024", "13/02/2024", "02/13/2024", "02/03/2024", "2024-02-30", "Feb 3, 2024", "3. März 2024", "1/2", "1.2 2024", "12.13", "3 Foo 2024", "x", "", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(X.read_date(F.col("t")).alias("d"), verdicts.suggested_date(F.col("t")).alias("s")).collect()
+    day = lambda m, d: dt.date(2024, m, d)
+    assert [None if r.d is None else (r.d.date, r.d.ambiguous) for r in rows] == [
+        (day(2, 1), False), (day(2, 13), False), (day(2, 13), False), (day(3, 2), True), (None, False), (day(2, 3), False), (day(3, 3), False),
+        (None, False), (day(2, 1), False), (None, False), (None, False), (None, False), None, None,
+    ]
+    assert rows[7].s is None and rows[8].s == day(2, 1)
+    plan = spark.range(1).select(X.first_date(F.lit("x")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") <= 12
