@@ -706,3 +706,22 @@ def test_long_text_scores_piece_by_piece():
         assert np.allclose(model.score(data), whole)
     finally:
         passages.PIECE = old
+
+
+def test_benchmark_blocks_run_one_after_the_other(spark, monkeypatch):
+    """However many blocks a benchmark has, no plan sends more than one, and the pairs are those of a single block."""
+    words = [f"w{i}" for i in range(400)]
+    item = lambda i: " ".join(words[i * 20 : i * 20 + 16])
+    bench = spark.createDataFrame([(i, item(i)) for i in range(12)] + [(3, item(3)), (50, "w1 w2"), (51, None), (None, item(1))], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, f"x y {item(2)} z {item(9)}"), (1, f"x y {item(2)} z {item(9)}"), (2, "nothing here"), (3, f"{item(5)} w1 w2"), (4, None), (None, item(0))],
+        "doc_id long, text string",
+    )
+    pairs = lambda: sorted(tuple(r) for r in decontaminate.leaks(docs, bench).collect())
+    whole = pairs()
+    assert {r[:2] for r in whole} == {(1, 2), (1, 9), (3, 5), (3, 50)}
+    monkeypatch.setattr(decontaminate, "BLOCK", 3)
+    assert pairs() == whole
+    assert sorted(str(r) for r in decontaminate.without_leaks(docs, bench).collect()) == ["Row(doc_id=2, text='nothing here')", "Row(doc_id=4, text=None)"]
+    plan = decontaminate.leaks(docs, bench)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "Generate" not in plan
